@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .simhash_pigeonring import simhash_groups
 from .substring_recompression import remove_repeated_words
 from .suffix_bpr import remove_repeated_bytes
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,20 @@ def op10_suffix_bpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_recompression": op2_substring_recompression,
+    "op8_simhash_pigeonring": op8_simhash_pigeonring,
+    "op9_token_counts": op9_token_counts,
     "op10_suffix_bpr": op10_suffix_bpr,
 }
 ORACLE_SQL: dict[str, str] = {}
