@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import identify_languages
 from .simhash_pigeonring import simhash_groups
 from .substring_recompression import remove_repeated_words
 from .suffix_bpr import remove_repeated_bytes
@@ -24,6 +25,10 @@ def op10_suffix_bpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -36,6 +41,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_recompression": op2_substring_recompression,
+    "op7_language_id": op7_language_id,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_bpr": op10_suffix_bpr,
