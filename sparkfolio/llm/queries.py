@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .language_id import identify_languages
+from .line_dedup import drop_boilerplate
+from .mixing import mix_sources
 from .simhash_pigeonring import simhash_groups
 from .substring_recompression import remove_repeated_words
 from .suffix_bpr import remove_repeated_bytes
 from .token_counts import token_counts
+from .vp_tree import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_words(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -25,6 +34,16 @@ def op10_suffix_bpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), kept="kept")
+    lines = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n", -1))).cast("long")
+    return kept.select("doc_id", lines("text").alias("n_lines"), F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -40,10 +59,27 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vp_tree": op1_vp_tree,
     "op2_substring_recompression": op2_substring_recompression,
+    "op4_mixing": op4_mixing,
+    "op5_line_dedup": op5_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_bpr": op10_suffix_bpr,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": """
+WITH lines AS (SELECT rowid AS r, source, unnest(string_split(text, chr(10))) AS line FROM (SELECT row_number() OVER () AS rowid, source, text FROM documents)),
+per_page AS (SELECT DISTINCT r, source, rtrim(line, chr(32) || chr(9) || chr(13)) AS line FROM lines),
+bad AS (
+  SELECT c.source, c.line FROM (SELECT source, line, count(*) AS n FROM per_page WHERE line <> '' GROUP BY ALL) c
+  JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY ALL) t ON c.source IS NOT DISTINCT FROM t.source
+  WHERE n >= 5 AND n > 0.02::DOUBLE * pages),
+lists AS (SELECT source, list(line) AS lines FROM bad GROUP BY ALL),
+kept AS (
+  SELECT d.doc_id, d.text, CASE WHEN d.text IS NULL OR l.lines IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(l.lines, rtrim(x, chr(32) || chr(9) || chr(13)))), chr(10)) END AS kept
+  FROM documents d LEFT JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+  length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM kept""",
+}
