@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .language_id import identify_languages
 from .line_dedup import drop_boilerplate
 from .mixing import mix_sources
+from .secret_markov import secret_report, trained_on
 from .simhash_pigeonring import simhash_groups
 from .substring_recompression import remove_repeated_words
 from .suffix_bpr import remove_repeated_bytes
@@ -44,6 +45,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", lines("text").alias("n_lines"), F.length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return secret_report(documents, trained_on(documents))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_recompression": op2_substring_recompression,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_secret_markov": op6_secret_markov,
     "op7_language_id": op7_language_id,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_token_counts": op9_token_counts,
