@@ -28,6 +28,9 @@ RANDOM = "random"
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 ALPHABET = len(LETTERS)
 LEAST = 16
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST}}}"
+#: One of these is in every match of the first kind, in lower case.
+WORDS = ("passw", "secret", "token", "api")
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Matches that are handled together when positions are summed up, so that time stays linear in their number.
 BLOCK = 256
@@ -81,14 +84,15 @@ def seeded_random(spark: SparkSession, rows: int = 3000) -> DataFrame:
 
 
 def ordinary(documents: DataFrame, rows: int = 2000) -> DataFrame:
-    """Identifiers without digits from a bounded sample: the `rows` documents with the least hash of their id."""
+    """Identifiers without digits, and plain numbers, from a bounded sample: the `rows` documents with the least hash of their id."""
     ids = [r[0] for r in documents.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).collect()]
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{3,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z_-]{3,}|[0-9]{4,})(?![A-Za-z0-9+/_=-])"), F.lit(0))
     return documents.where(F.col("doc_id").isin(ids)).select(F.explode(words).alias("sample"), F.lit(0).alias("secret"))
 
 
-def _positions(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Spans of the matches of pattern for which keep(whole match, its group 2 or itself) holds."""
+def _positions(text: Column, pattern: str, kind: int, keep, first: Column) -> Column:
+    """Spans of the matches of pattern for which keep(whole match, its group 2 or itself) holds. first: a cheap test
+    that holds for every text with a match."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     other = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else whole
     gaps = F.transform(F.split(text, pattern, -1), F.length)
@@ -111,21 +115,30 @@ def _positions(text: Column, pattern: str, kind: int, keep) -> Column:
         return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(blocks, start, join)["spans"]).otherwise(F.array().cast(SPAN))
+    return F.when(first & text.rlike(pattern), F.aggregate(blocks, start, join)["spans"]).otherwise(F.array().cast(SPAN))
 
 
 def find_secrets(documents: DataFrame, model: list[int], total: float = 14.0, mean: float = 0.5) -> DataFrame:
     """Per row: doc_id, base and spans (arrays of start, kind, end; kinds by their place in KINDS, then random)."""
     text = F.col("text")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = [_positions(text, SHORTCUT.get(name, pattern), k, lambda w, o, n=n: F.length(o) >= n) for k, (name, pattern, _, n) in enumerate(KINDS)]
+    docs = docs.withColumn("run", text.rlike(RUN)).withColumn("low", F.lower("text"))
+    named = F.lit(False)
+    for word in WORDS:
+        named = named | F.contains(F.col("low"), F.lit(word))
+
+    def long_enough(n: int):
+        return lambda w, o: F.length(o) >= n
+
+    firsts = {"assign": named, "access": F.contains(text, F.lit("AKIA")), "hex": F.col("run")}
+    base = [_positions(text, SHORTCUT.get(name, pattern), k, long_enough(n), firsts[name]) for k, (name, pattern, _, n) in enumerate(KINDS)]
     table = _literal(model)
 
     def random(w: Column, _: Column) -> Column:
         ratio = F.aggregate(_transitions(w), F.lit(0), lambda a, t: a + F.get(table, t))
         return (ratio >= int(100 * total)) & (ratio >= int(100 * mean) * (F.length(w) - 1))
 
-    found = docs.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), _positions(text, CANDIDATE, len(KINDS), random).alias("added"))
+    found = docs.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), _positions(text, CANDIDATE, len(KINDS), random, F.col("run")).alias("added"))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
