@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import leaks
 from .language_id import identify_languages
 from .line_dedup import drop_boilerplate
 from .mixing import mix_sources
@@ -35,6 +36,10 @@ def op10_suffix_bpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,6 +72,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vp_tree": op1_vp_tree,
     "op2_substring_recompression": op2_substring_recompression,
+    "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_markov": op6_secret_markov,
