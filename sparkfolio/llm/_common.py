@@ -17,6 +17,7 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E
 #: Bytes that separate words: space and \t to \r.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+_GAP = SPACE.tobytes()
 #: Raw bytes of text handled at once by the vectorised code; a longer text is handled alone.
 SLICE_BYTES = 1_500_000
 
@@ -101,7 +102,7 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word and the byte after it; data ends with a separator."""
-    gap = SPACE[data]
+    gap = np.frombuffer(data.tobytes().translate(_GAP), dtype=bool)
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if not gap[0]:
         edge = np.concatenate(([0], edge))

@@ -29,20 +29,19 @@ from pyspark.sql import functions as F
 from ._common import U64, joined, slices, span_hashes
 
 PASSAGE, STRIDE, SHORT, ANSWER, ITEMS = 32, 16, 8, 8, 2000
-#: Terms in more than this share of the documents say nothing about a passage.
-COMMON_TERM = 0.2
+#: Terms in more than this share of the documents say nothing about a passage; an item keeps its RARE rarest ones anyway.
+COMMON_TERM, RARE = 0.02, 6
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_PART = np.zeros(256, dtype=bool)
-_PART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+_PART = bytes(48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 for i in range(256))
 
 
 def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Names of all words, and the first word of each text (one more entry at the end)."""
     data, offsets = joined(texts)
-    low = _LOWER[data]
-    part = _PART[low]
+    raw = data.tobytes()
+    low = np.frombuffer(raw.translate(_LOWER), dtype=np.uint8)
+    part = np.frombuffer(raw.translate(_PART), dtype=bool)
     edge = np.flatnonzero(part[1:] != part[:-1]) + 1
     if part[0]:
         edge = np.concatenate(([0], edge))
@@ -180,7 +179,8 @@ def latent_space(docs: DataFrame, terms: Terms, idf: np.ndarray, rank: int, seed
         rows = np.frombuffer(sums, dtype=np.float64).reshape(-1, gauss.shape[1])
         out[place : place + len(rows)] = rows
     basis = np.linalg.qr(out)[0] if len(out) >= rank else np.eye(len(out))
-    return (basis * idf[:, None]).astype(np.float32)
+    # few items occur in the corpus, so their terms are short in this space: only their directions count
+    return (_unit(basis) * idf[:, None]).astype(np.float32)
 
 
 def confirm(item: np.ndarray, around: np.ndarray, common: float, answer: float) -> tuple[float, float, bool]:
@@ -197,7 +197,7 @@ def confirm(item: np.ndarray, around: np.ndarray, common: float, answer: float)
     return share, told, told >= answer
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: float = 0.5, common: float = 0.6, answer: float = 0.5) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.45, common: float = 0.65, answer: float = 0.5) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, cosine, common, answer."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -219,7 +219,11 @@ def _leaks(docs: DataFrame, terms: Terms, rank: int, cosine: float, common: floa
     if not n:
         return spark.createDataFrame([], schema)
     idf = np.log((1 + n) / (1 + df))
-    idf = np.where(df > max(2, COMMON_TERM * n), 0.0, idf)
+    used = df <= COMMON_TERM * n
+    for s in terms.items:
+        term = np.searchsorted(terms.names, s)
+        used[term[np.argsort(df[term], kind="stable")[:RARE]]] = True
+    idf = np.where(used, idf, 0.0)
     space = latent_space(docs, terms, idf, rank)
     vectors = []
     for s in terms.items:

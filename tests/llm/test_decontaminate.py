@@ -24,7 +24,7 @@ def test_common_subsequence():
 
 def planted():
     r = random.Random(7)
-    words = [f"{''.join(r.choice('abcdefghij') for _ in range(r.randint(3, 8)))}" for _ in range(3000)]
+    words = [f"{''.join(r.choice('abcdefghij') for _ in range(r.randint(3, 8)))}" for _ in range(20000)]
     common = ["the", "of", "and", "to", "in"]
     text = lambda n: [r.choice(common) if r.random() < 0.4 else r.choice(words) for _ in range(n)]
     items = [(i, text(r.randint(12, 60))) for i in range(40)] + [(40, ["exact", "short", "item"])]
