@@ -208,6 +208,18 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows of documents, with all their columns, whose language is identified with a score of `least` or more."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            names, score = held.value.predict(texts)
+            yield batch.filter(pa.array([n != UNKNOWN for n in names]) if least <= 0 else pa.array((np.array(names) != UNKNOWN) & (score >= least)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def is_held_out(doc_id="doc_id"):
     """The fold that is never learnt from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2

@@ -178,3 +178,16 @@ def simhash_groups(documents: DataFrame, shingle: int = 5, max_bits: int = 4) ->
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = named.join(least, "root").select("fingerprint", "component_id")
     return prints.join(answer, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(documents: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
+    """documents without near-duplicates: of each group the row with the least doc_id stays, once if it is repeated;
+    rows without doc_id stay."""
+    groups = materialise(simhash_groups(documents.where("doc_id IS NOT NULL"), shingle, max_bits), "groups")
+    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
+    stay = documents.join(kept, "doc_id", "left_semi").select(documents.columns)
+    repeated = kept.where("__n > 1")
+    if not repeated.isEmpty():
+        again = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        stay = stay.join(repeated, "doc_id", "left_anti").select(documents.columns).unionByName(again.select(documents.columns))
+    return stay.unionByName(documents.where("doc_id IS NULL"))
