@@ -46,6 +46,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> DataFrame:
+    """Bounds the Arrow batches of the session, by rows and (where Spark can) by bytes, so that long texts don't fill a
+    worker; a lower setting stays. Returns df."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = conf.get(key, None)
+        if now is not None and not 0 < int(str(now).rstrip("b")) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

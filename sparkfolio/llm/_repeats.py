@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, binary_array, buckets_for, materialise, mix, release, slices
+from ._common import U64, binary_array, buckets_for, materialise, mix, release, slices, small_batches
 
 #: Contents of one sample that a batch sends to the sample's bucket.
 CLASSES = 16
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, units: Callable[[list[bytes]], Units], windo
     spark = docs.sparkSession
     buckets = buckets_for(docs)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    first = materialise(known.mapInArrow(_send_segments(units, window, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(SETTLED), REPLY), f"{name}-segments")
+    first = materialise(small_batches(known).mapInArrow(_send_segments(units, window, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(SETTLED), REPLY), f"{name}-segments")
     release(spark)
 
     def gathered(replies: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, materialise, release, slices
+from ._common import U64, materialise, release, slices, small_batches
 from ._components import components
 
 SEGMENTS = 5
@@ -66,7 +66,7 @@ def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fingerprint"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fingerprint long")
+    return small_batches(docs).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def _segment(value, k: int):
