@@ -189,8 +189,12 @@ def learnt(labelled: DataFrame, per_language: int = 800) -> Model:
     labelled = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     df, n = document_frequencies(labelled.select("doc_id", "text"))
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = [x[0] for x in labelled.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").collect()]
+    # about four times the wanted rows of each language pass by their hash, so none meets whole in one task
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    bounds = [F.lit(x) for r in labelled.groupBy("lang").count().collect() for x in (r["lang"], int(min(1.0, 4 * per_language / r["count"]) * (1 << 40)))]  # one row a language
+    few = labelled.select("doc_id", "lang", place.alias("place")).where(F.col("place") < F.try_element_at(F.create_map(*bounds), F.col("lang"))) if bounds else labelled.select("doc_id", "lang", place.alias("place"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    ids = [x[0] for x in few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").collect()]
     rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
     rows.sort(key=lambda x: (zlib.crc32(str(x.doc_id).encode()), x.doc_id, x.lang, x.text))
     return fit([x.text for x in rows], [x.lang for x in rows], idf)
