@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPLIT = 4096
+SPLIT = 512
 
 
 def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
