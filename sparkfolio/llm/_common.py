@@ -19,7 +19,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 _GAP = SPACE.tobytes()
 #: Raw bytes of text handled at once by the vectorised code; a longer text is handled alone.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 600_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -63,7 +63,7 @@ def input_bytes(df: DataFrame) -> int:
     return size if size < 1 << 60 else 0
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 16 << 20, least: int = 32) -> int:
+def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 32) -> int:
     """How many hash buckets keep each one of bounded size; grows with the input."""
     return int(min(max(least, -(-input_bytes(df) // bytes_each)), 10_000_000))
 

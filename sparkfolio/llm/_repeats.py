@@ -28,7 +28,7 @@ from ._common import U64, binary_array, buckets_for, materialise, mix, release,
 #: Contents of one sample that a batch sends to the sample's bucket.
 CLASSES = 16
 #: Segments or windows held before a batch is reduced and sent.
-HELD = 1_000_000
+HELD = 600_000
 #: Windows of one segment at most.
 RUN = 32
 SETTLED, OPEN, WINDOW, ENTRY = 0, 1, 2, 9
