@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from sparkfolio.schemas import DOCUMENT
+from sparkfolio.shipping import ship
 
 from . import archives, cards, compound, images, legacy, mail, office, pdf, text
 from .formats import FORMATS
@@ -53,6 +54,7 @@ def parse_content(mime: str | None, data: bytes, name: str | None, gated: bool =
 
 def parse_files(files: DataFrame, gated: bool = True) -> DataFrame:
     """files (name, content, mime_type and more) with the column `document`; a row that fails carries its error."""
+    ship(files.sparkSession)
     kind = to_arrow_type(_parse_datatype_string(DOCUMENT))
     columns = files.columns
 
