@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkfolio.functions import metadata as M
 from sparkfolio.functions import numbers as N
 from sparkfolio.functions import text as T
 from sparkfolio.operators import convert as C
@@ -19,6 +20,7 @@ from sparkfolio.operators import extract as X
 from sparkfolio.operators import lookup as L
 from sparkfolio.operators import registry as G
 from sparkfolio.operators import render as R
+from sparkfolio.operators.pages import page_range
 from sparkfolio.schemas import BLOCK, RECT, RUN, STYLE
 from sparkfolio.sources import formats as S
 from sparkfolio.sources.parse import parse_files
@@ -435,6 +437,26 @@ def error_classes(spark, sf_dir):
     return kinds.select("kind", C.is_recoverable(F.col("kind")).alias("recoverable"), C.is_input_error(F.col("kind")).alias("input_error"))
 
 
+@query("""SELECT p_partkey, p_name AS title, 'Brand' AS first_key, p_brand AS brand, (p_size * 2)::BIGINT AS size, CASE WHEN p_size % 2 = 0 THEN p_retailprice END AS price, ['#111111', NULL, '#EEEEEE'][p_size % 3 + 1] AS colour FROM part""")
+def document_metadata(spark, sf_dir):
+    custom = M.add_custom(M.no_custom(), F.lit("Brand"), M.value(F.col("p_brand"), "string"))
+    custom = M.add_custom(custom, F.lit("size"), M.value(F.col("p_size"), "bigint"))
+    custom = M.add_custom(custom, F.lit("size"), M.value(F.col("p_size") * 2, "bigint"))
+    custom = M.add_custom(custom, F.when(F.col("p_size") % 2 == 0, F.lit("price")).otherwise(F.lit("other")), M.value(F.col("p_retailprice"), "double"))
+    theme = F.create_map(F.lit("dk1"), F.lit("#111111"), F.lit("lt1"), F.lit("#EEEEEE"))
+    colour = M.theme_colour(theme, F.element_at(F.array(F.lit("dk1"), F.lit("none"), F.lit("lt1")), F.col("p_size") % 3 + 1))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", M.metadata(custom, title=F.col("p_name")).alias("m"), colour.alias("colour"))
+    get = lambda k: M.get_custom(F.col("m.custom"), F.lit(k))
+    return rows.select("p_partkey", "m.title", F.get(F.map_keys("m.custom"), F.lit(0)).alias("first_key"), get("Brand")["s"].alias("brand"), get("size")["i"].alias("size"), get("price")["f"].alias("price"), "colour")
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN n BETWEEN 2 AND 3 THEN turn::VARCHAR END, ',' ORDER BY n) AS middle, string_agg(CASE WHEN n IN (1, 4) THEN turn::VARCHAR END, ',' ORDER BY n) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) GROUP BY conv_id")
+def page_ranges(spark, sf_dir):
+    numbers = lambda pages: F.nullif(F.array_join(F.transform(pages, lambda p: p["number"].cast("string")), ","), F.lit(""))
+    pages = F.col("document.pages")
+    return _turn_pages(spark, sf_dir).select("conv_id", numbers(page_range(pages, 2, 3)).alias("middle"), numbers(page_range(pages, only=[1, 4])).alias("listed"))
+
+
 # parsers of containers and mail: whole tables wrapped in the format inside the query
 
 

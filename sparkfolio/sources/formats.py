@@ -74,6 +74,8 @@ PARSERS = (
 )
 #: The library's own registry starts with these instead.
 ARCHIVE_PARSERS = (("ZipParser", "zip"), ("TarParser", "tar"), ("GzipParser", "gzip"))
+#: What parsers and the renderer can do (fixed values).
+PARSER_FEATURES = ("TextExtraction", "ImageExtraction", "TableExtraction", "MetadataExtraction", "StyleExtraction", "PasswordSupport", "StreamingSupport")
 FORMAT_COLUMNS = "format string, mime_type string, extension string, family string, name string, is_container boolean"
 
 

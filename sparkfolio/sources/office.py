@@ -210,6 +210,33 @@ def _cell_text(c: Node, shared: list[str]) -> str | None:
         return raw
 
 
+def cell_styles(tree: Node) -> dict[str, list[dict]]:
+    """Fonts, fills and cell formats of a style sheet, each in order."""
+
+    def of(group: str, item: str) -> list[Node]:
+        found = tree.first(group)
+        return [n for n in found.elements() if n.name == item] if found else []
+
+    def colour(n: Node | None) -> str | None:
+        rgb = n.attributes.get("rgb") if n else None
+        return f"#{rgb[-6:]}" if rgb else None
+
+    fonts = [
+        {"bold": bool(n.all("b")), "italic": bool(n.all("i")), "underline": bool(n.all("u")), "size": s.number("val") if (s := n.first("sz")) else None, "name": x.attributes.get("val") if (x := n.first("name")) else None, "color": colour(n.first("color"))}
+        for n in of("fonts", "font")
+    ]
+    fills = [{"color": colour(n.first("fgColor"))} for n in of("fills", "fill")]
+    formats = [{k: int(n.number(a) or 0) for k, a in (("font", "fontId"), ("fill", "fillId"), ("number_format", "numFmtId"))} for n in of("cellXfs", "xf")]
+    return {"fonts": fonts, "fills": fills, "formats": formats}
+
+
+def theme_colours(tree: Node) -> dict[str, str]:
+    """Colours of a theme's scheme by name, where they are written with an end tag."""
+    scheme = tree.first("a:clrScheme")
+    pairs = ((n.name.removeprefix("a:"), c) for n in (scheme.elements() if scheme else ()) for c in n.all("a:srgbClr", "a:sysClr") if not c.self_closing)
+    return {name: c.attributes.get("val" if c.name == "a:srgbClr" else "lastClr", "") for name, c in pairs}
+
+
 def parse_xlsx(data: bytes, name: str | None = None) -> dict:
     package = Package(data)
     book = package.tree("xl/workbook.xml")

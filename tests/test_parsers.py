@@ -123,3 +123,12 @@ def test_broken_content_is_an_error_row():
         for cut in range(0, len(data), max(1, len(data) // 23)):
             parse_content(FORMATS[key][0], data[:cut], name, gated=False)
     assert struct.calcsize("<I") == 4
+
+
+def test_style_sheets():
+    sheet = office.parse("<styleSheet><fonts><font><b/><sz val='11'/><name val='A'/><color rgb='FF112233'/></font></fonts><fills><fill><patternFill><fgColor rgb='FFAABBCC'/></patternFill></fill></fills><cellXfs><xf numFmtId='14' fontId='0' fillId='0'/></cellXfs></styleSheet>")
+    got = office.cell_styles(sheet)
+    assert got["fonts"][0]["bold"] and got["fonts"][0]["size"] == 11.0 and got["fonts"][0]["color"] == "#112233" and got["fills"] == [{"color": "#AABBCC"}]
+    assert got["formats"] == [{"font": 0, "fill": 0, "number_format": 14}]
+    theme = office.parse("<a:theme><a:clrScheme><a:dk1><a:srgbClr val='000000'></a:srgbClr></a:dk1><a:lt1><a:srgbClr val='FFFFFF'/></a:lt1></a:clrScheme></a:theme>")
+    assert office.theme_colours(theme) == {"dk1": "000000"}
