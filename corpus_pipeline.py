@@ -14,7 +14,7 @@ from sparkfolio.llm.decontaminate import decontaminated
 from sparkfolio.llm.language_id import is_held_out, keep_identified, learnt
 from sparkfolio.llm.line_dedup import drop_boilerplate
 from sparkfolio.llm.mixing import mix_sources
-from sparkfolio.llm.simhash_pigeonring import one_of_each
+from sparkfolio.llm.near_copies import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return one_of_each(docs, shingle=5, max_bits=4)
+    """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
+    return one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkfolio.shipping import ship
+
 U64 = np.uint64
 #: Odd multipliers of the mixing functions (fixed values).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -35,6 +37,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df under the shared folder and reads it again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -49,6 +52,7 @@ def release(spark: SparkSession) -> None:
 def small_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> DataFrame:
     """Bounds the Arrow batches of the session, by rows and (where Spark can) by bytes, so that long texts don't fill a
     worker; a lower setting stays. Returns df."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = conf.get(key, None)

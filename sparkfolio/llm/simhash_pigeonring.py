@@ -39,30 +39,50 @@ GROUP = 20_000
 SMALL = 32
 
 
+def shingle_digests(text: bytes, shingle: int, seed: int = 42) -> list[bytes]:
+    """XXH64 of each shingle, repeats included."""
+    words = text.lower().split()
+    if not words:
+        return []
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    first = np.concatenate(([0], ends[: len(last) - 1] + 1))
+    return list(map(xxhash.xxh64_digest, map(line.__getitem__, map(slice, first.tolist(), last.tolist())), repeat(seed)))
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For consecutive groups of hashes: the bits that are set in over half of each group. Eight counters of a byte each
+    are added at once, so groups are cut into parts of 255."""
+    owner = np.repeat(np.arange(len(sizes)), -(-sizes // 255))
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    parts = begin[owner] + 255 * place
+    counts = np.zeros((len(sizes), 8, 8), dtype=np.int64)
+    edges = np.searchsorted(owner, np.arange(len(sizes)))
+    for b in range(8):
+        lanes = np.add.reduceat((hashes >> U64(b)) & U64(0x0101010101010101), parts)
+        counts[:, :, b] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8), edges, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > sizes[:, None, None], axis=2, bitorder="little").reshape(-1, 8).view("<u8").ravel().astype(U64)
+
+
+def _hashed(texts: list[bytes], digests) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Texts with words, the hashes of all their shingles, and how many each has."""
+    found = [digests(t) for t in texts]
+    some = [i for i, d in enumerate(found) if d]
+    raw = b"".join(b"".join(found[i]) for i in some)
+    return some, np.frombuffer(raw, dtype=">u8").astype(U64), np.array([len(found[i]) for i in some], dtype=np.int64)
+
+
 def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_digest
         for batch, texts in slices(batches):
             out = np.zeros(len(texts), dtype=U64)
-            digests, sizes, owners = [], [], []
-            for i, text in enumerate(texts):
-                words = text.lower().split()
-                if not words:
-                    continue
-                line = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-                last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-                first = np.concatenate(([0], ends[: len(last) - 1] + 1))
-                digests.append(b"".join(map(digest, map(line.__getitem__, map(slice, first.tolist(), last.tolist())), repeat(seed))))
-                sizes.append(len(last))
-                owners.append(i)
-            if owners:
-                bits = np.unpackbits(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 8), axis=1)
-                size = np.array(sizes)
-                ones = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
-                out[owners] = np.packbits(ones * 2 > size[:, None], axis=1).view(">u8").ravel()
+            some, hashes, sizes = _hashed(texts, lambda t: shingle_digests(t, shingle, seed))
+            if some:
+                out[some] = majority(hashes, sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fingerprint"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -179,15 +199,3 @@ def simhash_groups(documents: DataFrame, shingle: int = 5, max_bits: int = 4) ->
     answer = named.join(least, "root").select("fingerprint", "component_id")
     return prints.join(answer, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
-
-def one_of_each(documents: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:
-    """documents without near-duplicates: of each group the row with the least doc_id stays, once if it is repeated;
-    rows without doc_id stay."""
-    groups = materialise(simhash_groups(documents.where("doc_id IS NOT NULL"), shingle, max_bits), "groups")
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    stay = documents.join(kept, "doc_id", "left_semi").select(documents.columns)
-    repeated = kept.where("__n > 1")
-    if not repeated.isEmpty():
-        again = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        stay = stay.join(repeated, "doc_id", "left_anti").select(documents.columns).unionByName(again.select(documents.columns))
-    return stay.unionByName(documents.where("doc_id IS NULL"))
