@@ -11,6 +11,8 @@ sample inside it that depends on the window's content alone (so equal windows ha
 Every batch is reduced before the shuffle: equal contents go as one row, a sample sends at most CLASSES contents (the
 others go straight to step 2), so a key in a third of all documents costs a few rows for each batch. Buckets grow in
 number with the input, not in size. Nothing is collected to the driver.
+
+A text over LONG bytes is handled in chunks that overlap by a window less one unit, so memory doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from ._common import U64, binary_array, buckets_for, materialise, mix, release,
 CLASSES = 16
 #: Segments or windows held before a batch is reduced and sent.
 HELD = 600_000
+#: Longest text, in bytes, that is handled at once; longer ones in chunks of CHUNK bytes.
+LONG, CHUNK = 2_000_000, 600_000
 #: Windows of one segment at most.
 RUN = 32
 SETTLED, OPEN, WINDOW, ENTRY = 0, 1, 2, 9
@@ -173,18 +177,40 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)
 
 
-def _send_segments(units: Callable[[list[bytes]], Units], window: int, buckets: int):
+@dataclass
+class Reader:
+    """How texts become units. cut: begin and end (bytes) and first unit of each chunk of about so many bytes, where each
+    chunk also holds the window - 1 units that follow."""
+
+    units: Callable[[list[bytes]], Units]
+    cut: Callable[[bytes, int], list[tuple[int, int, int]]]
+    window: int
+
+    def chunks(self, texts: list[bytes], some: list[int]) -> Iterator[tuple[Units, Segments, np.ndarray, int]]:
+        """Units and segments of the texts in `some`; which text each is of; the first unit of what is a chunk."""
+        short = [i for i in some if len(texts[i]) <= LONG]
+        if short:
+            u = self.units([texts[i] for i in short])
+            yield u, segments(u, self.window), np.array(short), 0
+        for i in some:
+            if len(texts[i]) > LONG:
+                for begin, end, first in self.cut(texts[i], CHUNK):
+                    u = self.units([texts[i][begin:end]])
+                    yield u, segments(u, self.window), np.array([i]), first
+
+
+def _send_segments(reader: Reader, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
         for batch, texts in slices(batches):
-            s = segments(units(texts), window)
-            if len(s.doc):
-                held.append((s.sample, s.content, _ids(batch)[s.doc]))
-                count += len(s.doc)
-            if count >= HELD:
-                yield from _flush(held, buckets, SETTLED)
-                count = 0
+            for _, s, owner, _ in reader.chunks(texts, list(range(len(texts)))):
+                if len(s.doc):
+                    held.append((s.sample, s.content, _ids(batch)[owner[s.doc]]))
+                    count += len(s.doc)
+                if count >= HELD:
+                    yield from _flush(held, buckets, SETTLED)
+                    count = 0
         if held:
             yield from _flush(held, buckets, SETTLED)
 
@@ -216,76 +242,83 @@ def _told(value: list[dict] | None, kind: int) -> np.ndarray:
     return np.frombuffer(b"".join(x["payload"] for x in value or () if x["kind"] == kind), dtype=U64)
 
 
-def _each(units: Callable, window: int, batches: Iterator[pa.RecordBatch]):
-    """(batch, texts, units, segments, told values of each document) of each slice, for its documents that are told something."""
+def _told_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list, list[int]]]:
+    """Each slice with what its documents are told, and which ones are told something."""
     for batch, texts in slices(batches):
         told = batch.column("told").to_pylist()
-        some = [i for i, x in enumerate(told) if x]
-        u = units([texts[i] for i in some]) if some else None
-        yield batch, texts, u, segments(u, window) if some else None, told, some
+        yield batch, texts, told, [i for i, x in enumerate(told) if x]
 
 
-def _send_windows(units: Callable, window: int, buckets: int):
+def _send_windows(reader: Reader, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
-        for batch, _, u, s, told, some in _each(units, window, batches):
+        for batch, texts, told, some in _told_texts(batches):
             ids = _ids(batch)
-            edges = np.searchsorted(s.doc, np.arange(len(some) + 1)) if some else []
-            for k, i in enumerate(some):
-                a, b = edges[k], edges[k + 1]
-                at = np.flatnonzero(np.isin(s.content[a:b], _told(told[i], OPEN))) + a
-                if len(at):
-                    spread = s.last[at] - s.first[at] + 1
-                    places = np.arange(spread.sum()) + np.repeat(s.first[at] - (np.cumsum(spread) - spread), spread)
-                    names = u.names[places]
-                    held.append((np.repeat(s.sample[at], spread), names, np.full(len(names), ids[i])))
-                    count += len(names)
-            if count >= HELD:
-                yield from _flush(held, buckets, WINDOW)
-                count = 0
+            for u, s, owner, _ in reader.chunks(texts, some):
+                edges = np.searchsorted(s.doc, np.arange(len(owner) + 1))
+                for k, i in enumerate(owner.tolist()):
+                    a, b = edges[k], edges[k + 1]
+                    at = np.flatnonzero(np.isin(s.content[a:b], _told(told[i], OPEN))) + a
+                    if len(at):
+                        spread = s.last[at] - s.first[at] + 1
+                        places = np.arange(spread.sum()) + np.repeat(s.first[at] - (np.cumsum(spread) - spread), spread)
+                        names = u.names[places]
+                        held.append((np.repeat(s.sample[at], spread), names, np.full(len(names), ids[i])))
+                        count += len(names)
+                if count >= HELD:
+                    yield from _flush(held, buckets, WINDOW)
+                    count = 0
         if held:
             yield from _flush(held, buckets, WINDOW)
 
     return run
 
 
-def cover(batches: Iterator[pa.RecordBatch], units: Callable, window: int) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray | None]]]:
+def cover(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray | None]]]:
     """For each slice: the batch, its texts, and for each document which units go (None: none)."""
-    for batch, texts, u, s, told, some in _each(units, window, batches):
+    window = reader.window
+    for batch, texts, told, some in _told_texts(batches):
         masks: list[np.ndarray | None] = [None] * len(texts)
-        edges = np.searchsorted(s.doc, np.arange(len(some) + 1)) if some else []
-        for k, i in enumerate(some):
-            a, b = edges[k], edges[k + 1]
-            n, begin = int(u.count[k]), int(u.begin[k])
-            if b == a:
-                continue
-            change = np.zeros(n + 1, dtype=np.int64)
-            at = np.flatnonzero(np.isin(s.content[a:b], _told(told[i], SETTLED))) + a
-            np.add.at(change, s.first[at] - begin, 1)
-            np.add.at(change, s.last[at] - begin + window, -1)
-            single = _told(told[i], WINDOW)
-            if len(single):
-                places = np.flatnonzero(np.isin(u.names[begin : begin + n - window + 1], single))
-                change[places] += 1
-                np.add.at(change, places + window, -1)
-            masks[i] = np.cumsum(change[:-1]) > 0
+        for u, s, owner, offset in reader.chunks(texts, some):
+            edges = np.searchsorted(s.doc, np.arange(len(owner) + 1))
+            for k, i in enumerate(owner.tolist()):
+                a, b = edges[k], edges[k + 1]
+                n, begin = int(u.count[k]), int(u.begin[k])
+                change = np.zeros(n + 1, dtype=np.int64)
+                if b > a:
+                    at = np.flatnonzero(np.isin(s.content[a:b], _told(told[i], SETTLED))) + a
+                    np.add.at(change, s.first[at] - begin, 1)
+                    np.add.at(change, s.last[at] - begin + window, -1)
+                    single = _told(told[i], WINDOW)
+                    if len(single):
+                        places = np.flatnonzero(np.isin(u.names[begin : begin + n - window + 1], single))
+                        change[places] += 1
+                        np.add.at(change, places + window, -1)
+                gone = np.cumsum(change[:-1]) > 0
+                before = masks[i]
+                if before is None:
+                    masks[i] = gone
+                else:  # a later chunk: its first units were the end of the chunk before
+                    both = len(before) - offset
+                    before[offset:] |= gone[:both]
+                    masks[i] = np.concatenate((before, gone[both:]))
         yield batch, texts, masks
 
 
-def remove_repeats(docs: DataFrame, units: Callable[[list[bytes]], Units], window: int, finish: Callable, schema: str, name: str) -> DataFrame:
+def remove_repeats(docs: DataFrame, reader: Reader, finish: Callable, schema: str, name: str) -> DataFrame:
     """docs: doc_id long, text string. finish: an Arrow map over (doc_id, text, told) that uses cover()."""
     spark = docs.sparkSession
     buckets = buckets_for(docs)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    first = materialise(small_batches(known).mapInArrow(_send_segments(units, window, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(SETTLED), REPLY), f"{name}-segments")
+    first = materialise(small_batches(known).mapInArrow(_send_segments(reader, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(SETTLED), REPLY), f"{name}-segments")
     release(spark)
 
     def gathered(replies: DataFrame) -> DataFrame:
         return replies.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "payload")).alias("told"))
 
     opened = known.join(gathered(first.where(F.col("kind") == OPEN)), "doc_id")
-    second = materialise(opened.mapInArrow(_send_windows(units, window, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(WINDOW), REPLY), f"{name}-windows")
+    second = materialise(opened.mapInArrow(_send_windows(reader, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(WINDOW), REPLY), f"{name}-windows")
     release(spark)
     told = gathered(first.where(F.col("kind") == SETTLED).unionByName(second))
     return docs.join(told, "doc_id", "left").mapInArrow(finish, schema)

@@ -261,11 +261,13 @@ def _leaks(docs: DataFrame, terms: Terms, rank: int, cosine: float, common: floa
             if len(place) and len(seen):
                 holds = np.searchsorted(place, last) - np.searchsorted(place, first)
                 some = np.flatnonzero(holds)
-                latent_rows = _sums(place, v[row], first[some], last[some]).astype(np.float32)
                 for k in range(0, len(some), 20_000):
-                    score = _unit(latent_rows[k : k + 20_000]) @ latent
+                    block = some[k : k + 20_000]
+                    a, b = np.searchsorted(place, (first[block].min(), last[block].max()))
+                    rows = _sums(place[a:b], v[row[a:b]], first[block], last[block]).astype(np.float32)
+                    score = _unit(rows) @ latent
                     for p, i in zip(*(x.tolist() for x in np.nonzero(score >= cosine))):
-                        consider(int(some[k + p]), int(seen[i]), float(score[p, i]))
+                        consider(int(block[p]), int(seen[i]), float(score[p, i]))
             for w in np.flatnonzero(np.isin(names, anchored)).tolist() if len(anchored) else ():
                 for i in anchors[int(names[w])]:
                     item, low = t.items[i], w - unseen[i]

@@ -28,6 +28,8 @@ BITS = 15
 FEATURES = 1 << BITS
 ORDERS = 3
 UNKNOWN = "und"
+#: Longest text, in bytes, that is scored at once.
+PIECE = 2_000_000
 #: Term frequencies are multiplied by this, so that learning rates suit them.
 SCALE = 60.0
 
@@ -82,24 +84,52 @@ class Model:
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages or not texts:
             return names, score
-        by_order, begin, count, has = grams(texts)
-        some = np.flatnonzero(has)
+        if len(texts) == 1 and len(texts[0]) > PIECE:
+            return self._long(texts[0])
+        total, count, some = self._sums(texts)
         if not len(some):
             return names, score
+        best, p = self._decided(total, count)
+        for i, b in zip(some.tolist(), best.tolist()):
+            names[i] = self.languages[b]
+        score[some] = p
+        return names, score
+
+    def _sums(self, texts: list[bytes], every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of weights and numbers of characters of the texts with a letter (or of all), and which these are."""
+        by_order, begin, count, has = grams(texts)
+        some = np.flatnonzero(has | every & (count > 0))
         edges = np.stack((begin[some], begin[some] + count[some]), axis=1).ravel()
         total = np.zeros((len(some), len(self.languages)))
-        for k, f in enumerate(by_order):
+        for k, f in enumerate(by_order if len(some) else ()):
             for j in range(len(self.languages)):
                 w = self.weights[:, j][f]
                 total[:, j] += np.add.reduceat(w, np.minimum(edges, len(w) - 1), dtype=np.float64)[::2]
-        logits = total / (ORDERS * count[some])[:, None] + self.bias
+        return total, count[some], some
+
+    def _decided(self, total: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        logits = total / (ORDERS * count)[:, None] + self.bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
-        for i, b in zip(some.tolist(), best.tolist()):
-            names[i] = self.languages[b]
-        score[some] = p[np.arange(len(some)), best]
-        return names, score
+        return best, p[np.arange(len(p)), best]
+
+    def _long(self, text: bytes) -> tuple[list[str], np.ndarray]:
+        """One long text in pieces; n-grams across their edges end in spaces, as at a text's end."""
+        total, count, letters = np.zeros((1, len(self.languages))), np.zeros(1), False
+        begin = 0
+        while begin < len(text):
+            end = min(len(text), begin + PIECE)
+            while end < len(text) and text[end] & 0xC0 == 0x80:
+                end -= 1
+            part = text[begin:end]
+            t, n, _ = self._sums([part], every=True)
+            total, count, begin = total + t.sum(axis=0), count + n.sum(), end
+            letters = letters or bool(grams([part])[3][0])
+        if not letters:
+            return [UNKNOWN], np.zeros(1)
+        best, p = self._decided(total, count)
+        return [self.languages[best[0]]], p
 
 
 def _features(texts: list[bytes], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import MULTIPLIERS, U64, materialise, mix, release, slices, small_batches
 from ._components import components
-from .simhash_pigeonring import GROUP, SMALL, _hashed, majority, shingle_digests
+from .simhash_pigeonring import GROUP, SMALL, _hashed, majority, shingle_hashes
 
 RING, WORDS = 512, 8
 #: Standard deviations of the differing bits by which the budget exceeds their mean at the threshold: pairs at the
@@ -54,7 +54,7 @@ def long_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             out = np.zeros((len(texts), WORDS), dtype=U64)
-            some, hashes, sizes = _hashed(texts, lambda t: sorted(set(shingle_digests(t, shingle))))
+            some, hashes, sizes = _hashed(texts, lambda t: np.unique(shingle_hashes(t, shingle)))
             for k in range(WORDS if some else 0):
                 out[some, k] = majority(mix(hashes + U64(MULTIPLIERS[k % 6] * (k + 1) % 2**64), k % 6), sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in out], pa.binary())], ["doc_id", "fingerprint"])

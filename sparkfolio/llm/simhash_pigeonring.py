@@ -35,20 +35,23 @@ WIDTHS = (13, 13, 13, 13, 12)
 #: Bits of the ring's later halves that make the second part of a key.
 HALF = 6
 GROUP = 20_000
+#: Shingles of one text that are hashed at once.
+BLOCK = 200_000
 #: Groups up to this size are compared by shifts of the sorted bucket.
 SMALL = 32
 
 
-def shingle_digests(text: bytes, shingle: int, seed: int = 42) -> list[bytes]:
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
     """XXH64 of each shingle, repeats included."""
     words = text.lower().split()
     if not words:
-        return []
+        return np.zeros(0, dtype=U64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     first = np.concatenate(([0], ends[: len(last) - 1] + 1))
-    return list(map(xxhash.xxh64_digest, map(line.__getitem__, map(slice, first.tolist(), last.tolist())), repeat(seed)))
+    parts = (map(line.__getitem__, map(slice, first[k : k + BLOCK].tolist(), last[k : k + BLOCK].tolist())) for k in range(0, len(last), BLOCK))
+    return np.frombuffer(b"".join(b"".join(map(xxhash.xxh64_digest, p, repeat(seed))) for p in parts), dtype=">u8").astype(U64)
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -66,12 +69,11 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > sizes[:, None, None], axis=2, bitorder="little").reshape(-1, 8).view("<u8").ravel().astype(U64)
 
 
-def _hashed(texts: list[bytes], digests) -> tuple[list[int], np.ndarray, np.ndarray]:
+def _hashed(texts: list[bytes], hashes) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Texts with words, the hashes of all their shingles, and how many each has."""
-    found = [digests(t) for t in texts]
-    some = [i for i, d in enumerate(found) if d]
-    raw = b"".join(b"".join(found[i]) for i in some)
-    return some, np.frombuffer(raw, dtype=">u8").astype(U64), np.array([len(found[i]) for i in some], dtype=np.int64)
+    found = [hashes(t) for t in texts]
+    some = [i for i, h in enumerate(found) if len(h)]
+    return some, np.concatenate([found[i] for i in some]) if some else np.zeros(0, dtype=U64), np.array([len(found[i]) for i in some], dtype=np.int64)
 
 
 def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
@@ -80,7 +82,7 @@ def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             out = np.zeros(len(texts), dtype=U64)
-            some, hashes, sizes = _hashed(texts, lambda t: shingle_digests(t, shingle, seed))
+            some, hashes, sizes = _hashed(texts, lambda t: shingle_hashes(t, shingle, seed))
             if some:
                 out[some] = majority(hashes, sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fingerprint"])

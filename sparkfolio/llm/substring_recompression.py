@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import U64, join_names, joined, mix, span_hashes, word_bounds
-from ._repeats import Units, cover, remove_repeats, sliding_min
+from ._repeats import LONG, Reader, Units, cover, remove_repeats, sliding_min
 
 #: Rounds of pair naming, and the most words that a symbol of the last round and its context take: 2^ROUNDS words and,
 #: on each side, one word for the runs and 2^r - 1 words for the pairs of all rounds.
 ROUNDS = 3
 CONTEXT = 3 * 2**ROUNDS
 NONE = U64(0xFFFFFFFFFFFFFFFF)
+_BLANK = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -111,17 +112,41 @@ def word_units(window: int):
     return units
 
 
-def _finish(window: int):
+def word_reader(window: int) -> Reader:
+    def cut(text: bytes, size: int) -> list[tuple[int, int, int]]:
+        starts, ends = word_bounds(np.frombuffer(text + b"\n", dtype=np.uint8))
+        first = np.unique(np.searchsorted(starts, np.arange(0, len(text), size)))
+        first = first[first < len(starts)]
+        last = np.minimum(np.append(first[1:], len(starts)) + window - 1, len(starts))
+        return [(int(starts[a]), int(ends[b - 1]), int(a)) for a, b in zip(first, last)]
+
+    return Reader(word_units(window), cut, window)
+
+
+def _kept(text: bytes, mask: np.ndarray | None) -> tuple[int, int, bytes]:
+    """Words, removed words, and the kept words joined by spaces."""
+    if len(text) <= LONG:
+        words = text.split()
+        left = words if mask is None else [w for w, gone in zip(words, mask.tolist()) if not gone]
+        return len(words), len(words) - len(left), b" ".join(left)
+    data = np.frombuffer(text + b"\n", dtype=np.uint8)
+    starts, ends = word_bounds(data)
+    stay = np.ones(len(starts), dtype=bool) if mask is None else ~mask
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[starts[stay]] += 1
+    edge[ends[stay] + 1] -= 1  # with the separator after each word
+    out = data[np.cumsum(edge[:-1], dtype=np.int8) > 0].tobytes().translate(_BLANK)
+    return len(starts), int(len(starts) - stay.sum()), out[:-1]
+
+
+def _finish(reader: Reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = word_units(window)
-        for batch, texts, masks in cover(batches, units, window):
+        for batch, texts, masks in cover(batches, reader):
             n_words, removed, digest, kept = [], [], [], []
             for text, mask in zip(texts, masks):
-                words = text.split()
-                left = words if mask is None else [w for w, gone in zip(words, mask.tolist()) if not gone]
-                out = b" ".join(left)
-                n_words.append(len(words))
-                removed.append(len(words) - len(left))
+                n, gone, out = _kept(text, mask)
+                n_words.append(n)
+                removed.append(gone)
                 digest.append(hashlib.sha256(out).hexdigest())
                 kept.append(out)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -132,4 +157,5 @@ def _finish(window: int):
 def remove_repeated_words(documents: DataFrame, window: int = 50) -> DataFrame:
     """documents: doc_id, text. Per row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    return remove_repeats(docs, word_units(window), window, _finish(window), SCHEMA, "recompression")
+    reader = word_reader(window)
+    return remove_repeats(docs, reader, _finish(reader), SCHEMA, "recompression")

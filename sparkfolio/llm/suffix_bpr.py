@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import MULTIPLIERS, U64, join_names, joined, mix
-from ._repeats import Units, cover, remove_repeats, sliding_min
+from ._repeats import Reader, Units, cover, remove_repeats, sliding_min
 
 #: Bytes of an initial bucket.
 GRAM = 20
@@ -53,9 +53,16 @@ def byte_units(window: int):
     return units
 
 
-def _finish(window: int):
+def byte_reader(window: int) -> Reader:
+    def cut(text: bytes, size: int) -> list[tuple[int, int, int]]:
+        return [(a, min(len(text), a + size + window - 1), a) for a in range(0, len(text), size)]
+
+    return Reader(byte_units(window), cut, window)
+
+
+def _finish(reader: Reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, masks in cover(batches, byte_units(window), window):
+        for batch, texts, masks in cover(batches, reader):
             n_bytes, removed, spans, digest, kept = [], [], [], [], []
             for text, mask in zip(texts, masks):
                 left = text
@@ -74,4 +81,5 @@ def _finish(window: int):
 def remove_repeated_bytes(documents: DataFrame, window: int = 50) -> DataFrame:
     """documents: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    return remove_repeats(docs, byte_units(window), window, _finish(window), SCHEMA, "bpr")
+    reader = byte_reader(window)
+    return remove_repeats(docs, reader, _finish(reader), SCHEMA, "bpr")

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,27 @@ from pyspark.sql import functions as F
 from ._common import slices, small_batches
 
 CACHE = 600_000
+#: Longest text, in bytes, that is split at once.
+PIECE = 2_000_000
+CUT = re.compile(rb"[!-~](?= [!-~])")
 #: The byte-level pre-tokenizer's pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points on which the pattern is proven to split as the tokenizer does; texts with any other are counted whole.
 PROVEN = regex.compile(r"[^　-\U0010FFFF՘֋֌࢏౜೜₏₝-₟]*+")
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """Parts of a long text, cut before a space that follows a word or sign: no token spans such a place."""
+    begin = 0
+    while len(text) - begin > PIECE:
+        m = CUT.search(text, begin + PIECE)
+        if not m:
+            break
+        yield text[begin : m.start() + 1]
+        begin = m.start() + 1
+    yield text[begin:]
+
+
 class Counter:
     """Counts tokens; built once for each worker."""
 
@@ -70,6 +87,12 @@ class Counter:
         return self.split(text), 0
 
     def count(self, texts: list[bytes]) -> list[int]:
+        out = []
+        for long, group in groupby(texts, lambda t: len(t) > PIECE):
+            out += [sum(self._count([p])[0] for p in pieces(t)) for t in group] if long else self._count(list(group))
+        return out
+
+    def _count(self, texts: list[bytes]) -> list[int]:
         strings = [t.decode() for t in texts]
         cut = [self.pieces(s) if PROVEN.fullmatch(s) else None for s in strings]
         unknown = [w for w in set().union(*(c[0] for c in cut if c)) if w not in self.cache]
