@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -44,9 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files that no live DataFrame needs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner delete shuffle files that no live DataFrame needs. What the first collection finds unused is
+    queued, so a second one follows after a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> DataFrame:

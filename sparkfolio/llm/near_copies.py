@@ -94,32 +94,35 @@ def _forest(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[np.nda
 
 def _search(most: int):
     def run(table: pa.Table) -> pa.Table:
-        keys, ids, prints = [], [], []
+        keys, rows, ids, prints, held = [], [], [], [], 0
         for blob in table.column("payload").to_pylist():
             n, t = np.frombuffer(blob, dtype=np.int64, count=2)
             index = np.frombuffer(blob, dtype=np.uint32, count=n, offset=16 + 8 * n)
             keys.append(np.frombuffer(blob, dtype=U64, count=n, offset=16))
-            ids.append(np.frombuffer(blob, dtype=np.int64, count=t, offset=16 + 12 * n)[index])
-            prints.append(np.frombuffer(blob, dtype=U64, count=t * WORDS, offset=16 + 12 * n + 8 * t).reshape(t, WORDS)[index])
-        key, id_, print_ = np.concatenate(keys), np.concatenate(ids), np.concatenate(prints)
-        order = np.lexsort((id_, key))
-        key, id_, print_ = key[order], id_[order], print_[order]
+            rows.append(index + np.uint32(held))
+            ids.append(np.frombuffer(blob, dtype=np.int64, count=t, offset=16 + 12 * n))
+            prints.append(np.frombuffer(blob, dtype=U64, count=t * WORDS, offset=16 + 12 * n + 8 * t).reshape(t, WORDS))
+            held += int(t)
+        key, row, each, print_ = np.concatenate(keys), np.concatenate(rows), np.concatenate(ids), np.concatenate(prints)
+        del keys, rows, ids, prints
+        order = np.lexsort((each[row], key))
+        key, row = key[order], row[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sizes = np.diff(np.append(first, len(key)))
         size = np.repeat(sizes, sizes)
         found = []
         small = np.flatnonzero((size > 1) & (size <= SMALL))
-        k, v, p = key[small], id_[small], print_[small]
+        k, v = key[small], row[small]
         for step in range(1, min(SMALL, len(v))):
             same = np.flatnonzero(k[step:] == k[:-step])
             if not len(same):
                 break
             for a in range(0, len(same), 100_000):
                 at = same[a : a + 100_000]
-                at = at[_linked(p[at], p[at + step], most)]
-                found.append((v[at], v[at + step]))
+                at = at[_linked(print_[v[at]], print_[v[at + step]], most)]
+                found.append((each[v[at]], each[v[at + step]]))
         for a, n in zip(first[sizes > SMALL], sizes[sizes > SMALL]):
-            found += _forest(id_[a : a + n], print_[a : a + n], most)
+            found += _forest(each[row[a : a + n]], print_[row[a : a + n]], most)
         left, right = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         pairs = np.unique(np.stack((np.minimum(left, right), np.maximum(left, right)), axis=1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -134,7 +137,7 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
     spark = distinct.sparkSession
     count = distinct.count()
     bits, starts = chains(count, similarity)
-    buckets = int(max(32, -(-count * starts * 84 // (32 << 20))))
+    buckets = int(max(32, -(-count * starts * 84 // (16 << 20))))
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = batch.column("least").to_numpy(zero_copy_only=False)
