@@ -71,5 +71,9 @@ def tally(rows: DataFrame, status: str = "status") -> DataFrame:
     return rows.groupBy(status).agg(F.count("*").alias("n"))
 
 
+def version(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("sparkfolio", VERSION, spark.version)], "name string, version string, spark string")
+
+
 def health(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("healthy", VERSION)], "status string, version string")

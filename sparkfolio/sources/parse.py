@@ -40,20 +40,26 @@ REFUSED = "UnsupportedFormat"
 _BY_MIME = {FORMATS[k][0]: k for k in PARSERS}
 
 
-def parse_content(mime: str | None, data: bytes, name: str | None, gated: bool = True) -> dict:
+Parser = Callable[[bytes, str | None], dict]
+
+
+def parse_content(mime: str | None, data: bytes, name: str | None, gated: bool = True, own: dict[str, Parser] | None = None) -> dict:
     key = _BY_MIME.get(mime)
-    if key is None or (gated and key in CONTAINER_GATES and not CONTAINER_GATES[key](data)):
+    parser = (own or {}).get(mime) or PARSERS.get(key)
+    if parser is None or (gated and key in CONTAINER_GATES and mime not in (own or {}) and not CONTAINER_GATES[key](data)):
         return failed(f"No parser for {mime}", REFUSED)
     try:
-        return PARSERS[key](data, name)
+        return parser(data, name)
     except ParseError as e:
         return failed(str(e))
     except (ValueError, KeyError, IndexError, TypeError, OverflowError, RecursionError, OSError, EOFError, struct.error) as e:
         return failed(f"{type(e).__name__}: {e}", "Corrupted")
 
 
-def parse_files(files: DataFrame, gated: bool = True) -> DataFrame:
-    """files (name, content, mime_type and more) with the column `document`; a row that fails carries its error."""
+def parse_files(files: DataFrame, gated: bool = True, own: dict[str, Parser] | None = None) -> DataFrame:
+    """files (name, content, mime_type and more) with the column `document`; a row that fails carries its error.
+    own: further parsers by MIME type, functions of content and name that return what udm.document makes; of one type the
+    one given here wins."""
     ship(files.sparkSession)
     kind = to_arrow_type(_parse_datatype_string(DOCUMENT))
     columns = files.columns
@@ -63,7 +69,7 @@ def parse_files(files: DataFrame, gated: bool = True) -> DataFrame:
             for at in range(0, whole.num_rows, 16):  # rendered content may be large
                 batch = whole.slice(at, 16)
                 rows = zip(batch.column("mime_type").to_pylist(), batch.column("content").to_pylist(), batch.column("name").to_pylist())
-                documents = [parse_content(m, c or b"", n, gated) for m, c, n in rows]
+                documents = [parse_content(m, c or b"", n, gated, own) for m, c, n in rows]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(documents, type=kind)], [*columns, "document"])
 
     schema = files.select("*", F.lit(None).cast(DOCUMENT).alias("document")).schema

@@ -57,3 +57,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(batch) == key(spark.read.parquet(str(tmp_path / "out")))
     small, large = within_limit(read_files(spark, str(tmp_path / "in")), 1000)
     assert small.count() + large.count() == len(X.packages()) and large.count() > 0
+
+
+def test_own_parsers(spark):
+    from sparkfolio.sources.udm import document, page, run, text_block
+
+    def upper(data, name):
+        return document([page(1, [text_block([run(data.decode().upper())])])], title=name)
+
+    df = spark.createDataFrame([("a", bytearray(b"abc"), "application/own"), ("b", bytearray(b"abc"), "text/plain"), ("c", bytearray(b""), "no/parser")], "name string, content binary, mime_type string")
+    got = {r.name: (r.t, r.e) for r in parse_files(df, own={"application/own": upper}).select("name", document_text(F.col("document")).alias("t"), F.col("document.error.kind").alias("e")).collect()}
+    assert got == {"a": ("ABC", None), "b": ("abc", None), "c": ("", "UnsupportedFormat")}
