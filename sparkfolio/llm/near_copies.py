@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import MULTIPLIERS, U64, materialise, mix, release, slices, small_batches
-from ._components import components
+from ._components import components, stars
 from .simhash_pigeonring import GROUP, SMALL, _hashed, majority, shingle_hashes
 
 RING, WORDS = 512, 8
@@ -124,9 +124,8 @@ def _search(most: int):
         for a, n in zip(first[sizes > SMALL], sizes[sizes > SMALL]):
             found += _forest(each[row[a : a + n]], print_[row[a : a + n]], most)
         left, right = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        pairs = np.unique(np.stack((np.minimum(left, right), np.maximum(left, right)), axis=1), axis=0) if len(left) else np.zeros((0, 2), np.int64)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        return pa.table({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+        node, root = stars(left, right)
+        return pa.table({"a": pa.array(node), "b": pa.array(root)})
 
     return run
 

@@ -84,3 +84,16 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty(spark):
     assert simhash_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stars_within_a_task():
+    from sparkfolio.llm._components import stars
+
+    r = random.Random(6)
+    for _ in range(200):
+        n = r.randint(1, 40)
+        edges = [(r.randrange(n) * 7, r.randrange(n) * 7) for _ in range(r.randint(0, 50))]
+        a, b = (np.array([e[k] for e in edges], dtype=np.int64) for k in (0, 1))
+        node, root = stars(a, b)
+        want = groups({x for e in edges for x in e}, edges)
+        assert dict(zip(node.tolist(), root.tolist())) == {k: v for k, v in want.items() if k != v}
