@@ -82,6 +82,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_bpr": op10_suffix_bpr,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_recompression": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS v FROM documents),
+windows AS (SELECT r, doc_id, p, md5(array_to_string(v[p:p + 49], ' ')) AS h FROM (SELECT r, doc_id, v, unnest(range(1, len(v) - 48)) AS p FROM docs WHERE len(v) >= 50)),
+least AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY h),
+hits AS (SELECT r, p FROM windows JOIN least USING (h) WHERE m < doc_id),
+words AS (SELECT r, unnest(v) AS word, generate_subscripts(v, 1) AS i FROM docs),
+marked AS (SELECT w.r, w.i, w.word, max(h.p) OVER (PARTITION BY w.r ORDER BY w.i ROWS UNBOUNDED PRECEDING) AS last FROM words w LEFT JOIN hits h ON h.r = w.r AND h.p = w.i),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM marked WHERE last IS NULL OR i - last > 49 GROUP BY r)
+SELECT d.doc_id, len(d.v)::BIGINT AS n_words, (len(d.v) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM docs d LEFT JOIN kept k USING (r)""",
+    "op10_suffix_bpr": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT r, doc_id, p, hash(substr(x, 2 * p - 1, 100)) AS h FROM (SELECT r, doc_id, x, unnest(range(1, n - 48)) AS p FROM docs WHERE n >= 50)),
+least AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY h),
+hits AS (SELECT r, p FROM windows JOIN least USING (h) WHERE m < doc_id),
+islands AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS opens FROM hits)),
+spans AS (SELECT r, g, min(p) AS a, max(p) + 49 AS b FROM islands GROUP BY r, g),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY g), 0) AS before FROM spans),
+kept AS (SELECT r, sum(b - a + 1) AS removed, count(*) AS spans, string_agg(substr(x, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY g) || substr(any_value(x), 2 * max(b) + 1) AS t FROM gaps JOIN docs USING (r) GROUP BY r)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(k.removed, 0)::BIGINT AS n_removed, coalesce(k.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.t, d.x))) AS kept_sha256 FROM docs d LEFT JOIN kept k USING (r)""",
     "op5_line_dedup": """
 WITH lines AS (SELECT rowid AS r, source, unnest(string_split(text, chr(10))) AS line FROM (SELECT row_number() OVER () AS rowid, source, text FROM documents)),
 per_page AS (SELECT DISTINCT r, source, rtrim(line, chr(32) || chr(9) || chr(13)) AS line FROM lines),
