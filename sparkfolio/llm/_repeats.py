@@ -30,7 +30,7 @@ from ._common import U64, binary_array, buckets_for, materialise, mix, release,
 #: Contents of one sample that a batch sends to the sample's bucket.
 CLASSES = 16
 #: Segments or windows held before a batch is reduced and sent.
-HELD = 600_000
+HELD = 300_000
 #: Longest text, in bytes, that is handled at once; longer ones in chunks of CHUNK bytes.
 LONG, CHUNK = 2_000_000, 600_000
 #: Windows of one segment at most.
