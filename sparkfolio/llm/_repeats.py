@@ -249,6 +249,10 @@ def _told_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBa
         yield batch, texts, told, [i for i, x in enumerate(told) if x]
 
 
+def window_ids(names: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    return mix(mix(names, 3) + samples, 1)
+
+
 def _send_windows(reader: Reader, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -264,7 +268,8 @@ def _send_windows(reader: Reader, buckets: int):
                         spread = s.last[at] - s.first[at] + 1
                         places = np.arange(spread.sum()) + np.repeat(s.first[at] - (np.cumsum(spread) - spread), spread)
                         names = u.names[places]
-                        held.append((np.repeat(s.sample[at], spread), names, np.full(len(names), ids[i])))
+                        # dealt by their own names: a common sample's windows spread over all buckets
+                        held.append((names, window_ids(names, np.repeat(s.sample[at], spread)), np.full(len(names), ids[i])))
                         count += len(names)
                 if count >= HELD:
                     yield from _flush(held, buckets, WINDOW)
@@ -292,7 +297,8 @@ def cover(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterator[tuple[p
                     np.add.at(change, s.last[at] - begin + window, -1)
                     single = _told(told[i], WINDOW)
                     if len(single):
-                        places = np.flatnonzero(np.isin(u.names[begin : begin + n - window + 1], single))
+                        whole = slice(begin, begin + n - window + 1)
+                        places = np.flatnonzero(np.isin(window_ids(u.names[whole], u.samples[whole]), single))
                         change[places] += 1
                         np.add.at(change, places + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
