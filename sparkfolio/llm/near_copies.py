@@ -28,6 +28,8 @@ from ._components import components, stars
 from .simhash_pigeonring import GROUP, SMALL, _hashed, majority, shingle_hashes
 
 RING, WORDS = 512, 8
+#: Chains that are known to be common everywhere, at most: what is broadcast has 16 bytes for each.
+HOT = 1_000_000
 #: Standard deviations of the differing bits by which the budget exceeds their mean at the threshold: pairs at the
 #: threshold are found, and so are some that are a little less alike.
 SLACK = 2.5
@@ -136,6 +138,7 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
     spark = distinct.sparkSession
     count = distinct.count()
     bits, starts = chains(count, similarity)
+    group = max(GROUP, -(-count * starts // HOT))
     buckets = int(max(32, -(-count * starts * 84 // (16 << 20))))
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,12 +165,10 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
         n = np.concatenate([np.frombuffer(b, dtype=np.uint32, offset=len(b) // 12 * 8) for b in blobs])
         keys, place = np.unique(keys, return_inverse=True)
         total = np.bincount(place, weights=n).astype(np.int64)
-        return pa.table({"key": pa.array(keys[total > GROUP].view(np.int64)), "n": pa.array(total[total > GROUP])})
+        return pa.table({"key": pa.array(keys[total > group].view(np.int64)), "n": pa.array(total[total > group])})
 
-    # chains that over GROUP fingerprints share: starts / GROUP rows for each fingerprint at most, checked before it is sent
-    hot = sorted((r.key & (2**64 - 1), -(-r.n // GROUP)) for r in distinct.mapInArrow(tally, "bucket int, payload binary").groupBy("bucket").applyInArrow(large, "key long, n long").collect()) if count > GROUP else []
-    if len(hot) > 50_000_000:
-        raise ValueError(f"{len(hot)} chains are each shared by over {GROUP} fingerprints")
+    # chains that over `group` fingerprints share; as all chains are count * starts, these are HOT at most
+    hot = sorted((r.key & (2**64 - 1), -(-r.n // group)) for r in distinct.mapInArrow(tally, "bucket int, payload binary").groupBy("bucket").applyInArrow(large, "key long, n long").collect()) if count > group else []
     held = spark.sparkContext.broadcast((np.array([k for k, _ in hot], dtype=U64), np.array([n for _, n in hot], dtype=np.int64)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
