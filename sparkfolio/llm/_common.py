@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 from sparkfolio.shipping import ship
 
@@ -44,6 +45,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most (16 MB); beyond that both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """documents but those whose doc_id is in ids (materialised, one long column doc_id); rows without doc_id stay. The ids
+    are counted, and texts are only shuffled where they are too many to send."""
+    ids = ids.where("doc_id IS NOT NULL").distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return documents.join(broadcast(ids) if few else ids, "doc_id", "left_anti").select(documents.columns)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files that no live DataFrame needs. What the first collection finds unused is
     queued, so a second one follows after a moment."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, joined, slices, small_batches, span_hashes
+from ._common import U64, joined, materialise, slices, small_batches, span_hashes, without
 
 PASSAGE, STRIDE, SHORT, ANSWER, ITEMS = 32, 16, 8, 8, 2000
 #: Terms in more than this share of the documents say nothing about a passage; an item keeps its RARE rarest ones anyway.
@@ -283,5 +283,4 @@ def _leaks(docs: DataFrame, terms: Terms, rank: int, cosine: float, common: floa
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item."""
-    bad = leaks(documents, benchmark, **options).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(documents.columns)
+    return without(documents, materialise(leaks(documents, benchmark, **options).select("doc_id"), "leaks"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import MULTIPLIERS, U64, materialise, mix, release, slices, small_batches
+from ._common import MULTIPLIERS, U64, materialise, mix, release, slices, small_batches, without
 from ._components import components, stars
 from .simhash_pigeonring import GROUP, SMALL, _hashed, majority, shingle_hashes
 
@@ -218,10 +218,9 @@ def one_of_each(documents: DataFrame, shingle: int = 5, similarity: float = 0.8)
     """documents without near copies: of each group the row with the least doc_id stays, once if it is repeated; rows
     without doc_id stay."""
     groups = materialise(near_groups(documents, shingle, similarity), "groups")
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n"))
-    stay = documents.join(kept, "doc_id", "left_semi").select(documents.columns)
-    repeated = kept.where("__n > 1")
-    if not repeated.isEmpty():
-        again = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        stay = stay.join(repeated, "doc_id", "left_anti").select(documents.columns).unionByName(again.select(documents.columns))
-    return stay.unionByName(documents.where("doc_id IS NULL"))
+    stay = without(documents, groups.where("doc_id <> component_id").select("doc_id"))
+    repeated = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return stay
+    again = stay.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(documents.columns)
+    return without(stay, repeated).unionByName(again)
