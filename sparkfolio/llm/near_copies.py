@@ -28,6 +28,8 @@ from ._components import components, stars
 from .simhash_pigeonring import GROUP, SMALL, _hashed, majority, shingle_hashes
 
 RING, WORDS = 512, 8
+#: Fingerprints whose chains are named at once.
+ROWS = 512
 #: Chains that are known to be common everywhere, at most: what is broadcast has 16 bytes for each.
 HOT = 1_000_000
 #: Standard deviations of the differing bits by which the budget exceeds their mean at the threshold: pairs at the
@@ -67,6 +69,8 @@ def long_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
 
 def _keys(prints: np.ndarray, bits: int, starts: int) -> np.ndarray:
     """Names of each fingerprint's chains: rows x starts."""
+    if len(prints) > ROWS:
+        return np.concatenate([_keys(prints[i : i + ROWS], bits, starts) for i in range(0, len(prints), ROWS)])
     ring = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
     ring = np.concatenate((ring, ring[:, :bits]), axis=1).astype(np.int64)
     weight = 1 << np.arange(bits, dtype=np.int64)
@@ -74,6 +78,10 @@ def _keys(prints: np.ndarray, bits: int, starts: int) -> np.ndarray:
     return np.stack([mix((ring[:, p : p + bits] @ weight).astype(U64) + U64((i + 1) << 40), 3) for i, p in enumerate(places)], axis=1)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, 4 * ROWS) for b in batches for i in range(0, b.num_rows, 4 * ROWS))
+
+
 def _linked(one: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
     return np.flatnonzero(np.bitwise_count(others ^ one).sum(axis=1, dtype=np.int64) <= most)
 
@@ -150,7 +158,7 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
         return ((keys >> U64(20)) % U64(buckets)).astype(np.int32)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             if batch.num_rows:
                 keys, n = np.unique(read(batch)[2], return_counts=True)
                 order = np.argsort(bucket_of(keys), kind="stable")
@@ -173,9 +181,7 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_blocks = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _parts(batches):
             ids, prints, keys = read(batch)
             key, row = keys.ravel(), np.repeat(np.arange(len(ids), dtype=np.uint32), starts)
             if len(hot_keys):
