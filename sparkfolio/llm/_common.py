@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +80,37 @@ def small_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> DataF
     return df
 
 
+def trim() -> None:
+    """Gives a worker's free memory back to the system: a worker that waits for its next task must not hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """run over Arrow batches, then trim."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """run over one group, then trim."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return tidied
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df; 0 where it has none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, binary_array, buckets_for, materialise, mix, release, slices, small_batches
+from ._common import U64, binary_array, buckets_for, materialise, mix, release, slices, small_batches, tidy, tidy_group
 
 #: Contents of one sample that a batch sends to the sample's bucket.
 CLASSES = 16
@@ -317,14 +317,14 @@ def remove_repeats(docs: DataFrame, reader: Reader, finish: Callable, schema: st
     spark = docs.sparkSession
     buckets = buckets_for(docs)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    first = materialise(small_batches(known).mapInArrow(_send_segments(reader, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(SETTLED), REPLY), f"{name}-segments")
+    first = materialise(small_batches(known).mapInArrow(tidy(_send_segments(reader, buckets)), ROUTED).groupBy("bucket").applyInArrow(tidy_group(_settle(SETTLED)), REPLY), f"{name}-segments")
     release(spark)
 
     def gathered(replies: DataFrame) -> DataFrame:
         return replies.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "payload")).alias("told"))
 
     opened = known.join(gathered(first.where(F.col("kind") == OPEN)), "doc_id")
-    second = materialise(opened.mapInArrow(_send_windows(reader, buckets), ROUTED).groupBy("bucket").applyInArrow(_settle(WINDOW), REPLY), f"{name}-windows")
+    second = materialise(opened.mapInArrow(tidy(_send_windows(reader, buckets)), ROUTED).groupBy("bucket").applyInArrow(tidy_group(_settle(WINDOW)), REPLY), f"{name}-windows")
     release(spark)
     told = gathered(first.where(F.col("kind") == SETTLED).unionByName(second))
-    return docs.join(told, "doc_id", "left").mapInArrow(finish, schema)
+    return docs.join(told, "doc_id", "left").mapInArrow(tidy(finish), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, joined, materialise, slices, small_batches, span_hashes, without
+from ._common import U64, joined, materialise, slices, small_batches, span_hashes, tidy, tidy_group, without
 
 PASSAGE, STRIDE, SHORT, ANSWER, ITEMS = 32, 16, 8, 8, 2000
 #: Terms in more than this share of the documents say nothing about a passage; an item keeps its RARE rarest ones anyway.
@@ -130,7 +130,7 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, int
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["term", "n"])
 
     out = np.zeros(len(terms.names) + 1, dtype=np.int64)
-    for term, n in small_batches(docs).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
+    for term, n in small_batches(docs).mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row a term
         out[term] = n
     return out[:-1], int(out[-1])
 
@@ -172,10 +172,10 @@ def latent_space(docs: DataFrame, terms: Terms, idf: np.ndarray, rank: int, seed
         return pa.table({"place": table.column("place")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     def few(df: DataFrame, salts: int) -> DataFrame:
-        return df.groupBy("place", F.pmod(F.xxhash64("sums"), F.lit(salts)).alias("salt")).applyInArrow(add, "place int, sums binary")
+        return df.groupBy("place", F.pmod(F.xxhash64("sums"), F.lit(salts)).alias("salt")).applyInArrow(tidy_group(add), "place int, sums binary")
 
     out = np.zeros_like(gauss)
-    for place, sums in few(few(small_batches(docs).mapInArrow(run, "place int, sums binary"), 16), 1).collect():  # terms x rank numbers in all
+    for place, sums in few(few(small_batches(docs).mapInArrow(tidy(run), "place int, sums binary"), 16), 1).collect():  # terms x rank numbers in all
         rows = np.frombuffer(sums, dtype=np.float64).reshape(-1, gauss.shape[1])
         out[place : place + len(rows)] = rows
     basis = np.linalg.qr(out)[0] if len(out) >= rank else np.eye(len(out))
@@ -278,7 +278,7 @@ def _leaks(docs: DataFrame, terms: Terms, rank: int, cosine: float, common: floa
                 keys = sorted(best)
                 yield pa.RecordBatch.from_arrays([pa.array([int(ids[d]) for d, _ in keys], pa.int64()), pa.array([t.ids[i] for _, i in keys], pa.int64()), pa.array([best[x][2] for x in keys], pa.float64()), pa.array([best[x][0] for x in keys], pa.float64()), pa.array([best[x][1] for x in keys], pa.float64())], ["doc_id", "item_id", "cosine", "common", "answer"])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

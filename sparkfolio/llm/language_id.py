@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, small_batches
+from ._common import slices, small_batches, tidy
 
 BITS = 15
 FEATURES = 1 << BITS
@@ -209,7 +209,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["feature", "n"])
 
     out = np.zeros(FEATURES + 1, dtype=np.int64)
-    for feature, n in small_batches(docs).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows at most
+    for feature, n in small_batches(docs).mapInArrow(tidy(run), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows at most
         out[feature] = n
     return out[:FEATURES], int(out[FEATURES])
 
@@ -239,7 +239,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             names, score = held.value.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
@@ -251,7 +251,7 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> D
             names, score = held.value.predict(texts)
             yield batch.filter(pa.array([n != UNKNOWN for n in names]) if least <= 0 else pa.array((np.array(names) != UNKNOWN) & (score >= least)))
 
-    return small_batches(documents).mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(tidy(run), documents.schema)
 
 
 def is_held_out(doc_id="doc_id"):

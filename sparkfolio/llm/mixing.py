@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, tidy_group
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPLIT = 512
@@ -99,7 +99,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mo
     mix = spark.createDataFrame([(r.source, i, r.n, t) for i, (r, t) in enumerate(zip(by, goal))], "its string, place int, source_size long, target double")
     placed = docs.join(F.broadcast(mix) if len(by) <= 10_000 else mix, F.col("source").eqNullSafe(F.col("its"))).drop("its").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     lengths = placed.groupBy("place", "size").agg(F.count("*").alias("n"), F.first("target").alias("target"))
-    plan = materialise(lengths.groupBy("place").applyInArrow(_fit, "place int, size long, n long, whole long, take long"), "plan")
+    plan = materialise(lengths.groupBy("place").applyInArrow(tidy_group(_fit), "place int, size long, n long, whole long, take long"), "plan")
     planned = placed.join(plan, ["place", "size"]).withColumn("part", F.pmod(F.col("h"), F.ceil(F.col("n") / SPLIT)))
     key = ["place", "size", "part"]
     parts = planned.groupBy(*key).agg(F.count("*").alias("own"), F.first("take").alias("goal"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import MULTIPLIERS, U64, materialise, mix, release, slices, small_batches, without
+from ._common import MULTIPLIERS, U64, materialise, mix, release, slices, small_batches, tidy, tidy_group, without
 from ._components import components, stars
 from .simhash_pigeonring import GROUP, SMALL, _hashed, majority, shingle_hashes
 
@@ -64,7 +64,7 @@ def long_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in out], pa.binary())], ["doc_id", "fingerprint"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(docs).mapInArrow(run, "doc_id long, fingerprint binary")
+    return small_batches(docs).mapInArrow(tidy(run), "doc_id long, fingerprint binary")
 
 
 def _keys(prints: np.ndarray, bits: int, starts: int) -> np.ndarray:
@@ -176,7 +176,7 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
         return pa.table({"key": pa.array(keys[total > group].view(np.int64)), "n": pa.array(total[total > group])})
 
     # chains that over `group` fingerprints share; as all chains are count * starts, these are HOT at most
-    hot = sorted((r.key & (2**64 - 1), -(-r.n // group)) for r in distinct.mapInArrow(tally, "bucket int, payload binary").groupBy("bucket").applyInArrow(large, "key long, n long").collect()) if count > group else []
+    hot = sorted((r.key & (2**64 - 1), -(-r.n // group)) for r in distinct.mapInArrow(tidy(tally), "bucket int, payload binary").groupBy("bucket").applyInArrow(tidy_group(large), "key long, n long").collect()) if count > group else []
     held = spark.sparkContext.broadcast((np.array([k for k, _ in hot], dtype=U64), np.array([n for _, n in hot], dtype=np.int64)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
                 blobs.append(b"".join((np.array([b - a, len(used)], dtype=np.int64).tobytes(), key[a:b].tobytes(), index.astype(np.uint32).tobytes(), ids[used].tobytes(), prints[used].tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(owner[begin]), pa.array(blobs, pa.binary())], ["bucket", "payload"])
 
-    return distinct.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(_search(budget(similarity)), "a long, b long")
+    return distinct.mapInArrow(tidy(send), "bucket int, payload binary").groupBy("bucket").applyInArrow(tidy_group(_search(budget(similarity))), "a long, b long")
 
 
 def near_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, materialise, release, slices, small_batches
+from ._common import U64, materialise, release, slices, small_batches, tidy, tidy_group
 from ._components import components
 
 SEGMENTS = 5
@@ -88,7 +88,7 @@ def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fingerprint"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    return small_batches(docs).mapInArrow(tidy(run), "doc_id long, fingerprint long")
 
 
 def _segment(value, k: int):
@@ -187,7 +187,7 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     dealt = sized.select("key", "fingerprint", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("part"))
     rows = distinct.count() * 10
     buckets = max(48, rows // 500_000)
-    return dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(_search(max_bits), "a long, b long")
+    return dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(tidy_group(_search(max_bits)), "a long, b long")
 
 
 def simhash_groups(documents: DataFrame, shingle: int = 5, max_bits: int = 4) -> DataFrame:

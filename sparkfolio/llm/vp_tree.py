@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, tidy_group
 
 SHARD, BLOCK, LEAF = 4096, 1024, 48
 
@@ -134,13 +134,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     def packed(df: DataFrame, each: int, name: str) -> tuple[DataFrame, int]:
         n = df.count()
         blocks = max(1, -(-n // each))
-        return materialise(df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(_packed, "dim int, block int, ids binary, values binary"), name), blocks
+        return materialise(df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(tidy_group(_packed), "dim int, block int, ids binary, values binary"), name), blocks
 
     shards, n = packed(sound(vectors), SHARD, "shards")
     asked, m = packed(sound(queries), BLOCK, "queries")
     left = shards.select("dim", F.col("block").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("part"), F.lit(0).alias("kind"), "ids", "values")
     right = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.col("block").alias("part"), F.lit(1).alias("kind"), "ids", "values")
-    found = left.unionByName(right).groupBy("dim", "shard", "part").applyInArrow(_search(k, factor), "query_id long, vec_id long, score double")
+    found = left.unionByName(right).groupBy("dim", "shard", "part").applyInArrow(tidy_group(_search(k, factor)), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
