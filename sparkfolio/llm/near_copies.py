@@ -1,10 +1,13 @@
 """Near copies by long SimHash fingerprints on a ring, for similarities that 64 bits can't tell.
 
 Two texts whose shingle sets have Jaccard similarity s differ in about arccos(2s / (1 + s)) / pi of their SimHash bits,
-so RING = 512 bits estimate s to a few hundredths. The bits form a ring. Pairs within the budget of differing bits must hold
-chains of consecutive bits without a difference: candidates share a chain of `bits` bits at one of `starts` places, which
-a pair at the threshold does with a probability of about 0.99; both numbers follow from the count of distinct
-fingerprints, so groups of unrelated texts stay small at every size. The full Hamming check follows.
+so RING = 512 bits estimate s to a few hundredths. The bits form rings, each in an order of its own, that are cut into
+chains of `bits` bits which don't overlap: candidates share one of `starts` chains. Chains of a ring exclude each other's
+bits and rings are independent, so a pair at the very end of the budget shares none with a probability of MISS at most, at
+every count of fingerprints, and a pair at the threshold much more seldom. `bits` follows from the count of distinct
+fingerprints, so groups of unrelated texts stay small at every size, and `starts` from `bits`, without a limit: about as
+the 0.3rd power of the count. ROUND chains are searched at a time, which bounds the disk. The full Hamming check follows.
+An exact filter doesn't exist at this budget: a fifth of the bits may differ, so only chains of 5 bits are sure to be equal.
 
 Equal fingerprints are collapsed first, groups are searched breadth-first (see simhash_pigeonring), and a chain shared by
 more than GROUP fingerprints is dealt out as pairs of blocks, so no task gets an unbounded group and no group yields all
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,8 @@ HOT = 1_000_000
 SLACK = 2.5
 #: Probability that a pair at the very end of the budget shares no chain.
 MISS = 0.03
+#: Chains that are sent and searched at once.
+ROUND = 96
 
 
 def budget(similarity: float) -> int:
@@ -46,10 +52,20 @@ def budget(similarity: float) -> int:
 
 
 def chains(count: int, similarity: float) -> tuple[int, int]:
-    """Bits of a chain, about 16 unrelated fingerprints to each value at most, and places where chains start."""
-    p = 1 - budget(similarity) / RING
+    """Bits of a chain, about 16 unrelated fingerprints to each value at most, and how many chains there are."""
+    most = budget(similarity)
     bits = min(32, max(14, math.ceil(math.log2(max(count, 1))) - 4))
-    return bits, min(RING, math.ceil(math.log(MISS) / math.log(1 - p**bits)))
+    equal = math.prod((RING - most - j) / (RING - j) for j in range(bits))
+    return bits, 1 if equal == 1 else math.ceil(math.log(MISS) / math.log1p(-equal))
+
+
+@lru_cache(maxsize=4)
+def _places(bits: int, starts: int) -> np.ndarray:
+    """The bits of each chain, starts x bits: chains of one ring share none."""
+    each = RING // bits
+    rings = -(-starts // each)
+    order = np.argsort(mix(mix(np.arange(1, rings * RING + 1, dtype=U64) * U64(MULTIPLIERS[0]), 4), 5).reshape(rings, RING), axis=1, kind="stable")
+    return order[:, : each * bits].reshape(-1, bits)[:starts]
 
 
 def long_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
@@ -67,15 +83,17 @@ def long_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
     return small_batches(docs).mapInArrow(tidy(run), "doc_id long, fingerprint binary")
 
 
-def _keys(prints: np.ndarray, bits: int, starts: int) -> np.ndarray:
-    """Names of each fingerprint's chains: rows x starts."""
+def _keys(prints: np.ndarray, bits: int, starts: int, first: int = 0) -> np.ndarray:
+    """Names of each fingerprint's chains from `first` on: rows x (starts - first)."""
     if len(prints) > ROWS:
-        return np.concatenate([_keys(prints[i : i + ROWS], bits, starts) for i in range(0, len(prints), ROWS)])
-    ring = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1)
-    ring = np.concatenate((ring, ring[:, :bits]), axis=1).astype(np.int64)
-    weight = 1 << np.arange(bits, dtype=np.int64)
-    places = (np.arange(starts) * RING) // starts
-    return np.stack([mix((ring[:, p : p + bits] @ weight).astype(U64) + U64((i + 1) << 40), 3) for i, p in enumerate(places)], axis=1)
+        return np.concatenate([_keys(prints[i : i + ROWS], bits, starts, first) for i in range(0, len(prints), ROWS)])
+    ring = np.ascontiguousarray(np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1).T)
+    places = _places(bits, starts)[first:]
+    value = np.zeros((len(places), len(prints)), dtype=U64)
+    for k in range(bits):
+        value |= ring[places[:, k]].astype(U64) << U64(k)
+    value += (np.arange(first + 1, starts + 1, dtype=U64) << U64(40))[:, None]
+    return np.ascontiguousarray(mix(value, 3).T)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,17 +160,32 @@ def _search(most: int):
 
 def links(distinct: DataFrame, similarity: float) -> DataFrame:
     """distinct: least (a document's id) and fingerprint, one row for each fingerprint. Links a, b that connect what the
-    candidates find."""
-    spark = distinct.sparkSession
+    candidates find. Rounds of chains follow each other, and each one's shuffle files go before the next."""
     count = distinct.count()
     bits, starts = chains(count, similarity)
+    rounds = -(-starts // ROUND)
+    edges = [starts * k // rounds for k in range(rounds + 1)]
+    out = None
+    for first, last in zip(edges, edges[1:]):
+        found = _links(distinct, count, bits, first, last, budget(similarity))
+        if rounds > 1:
+            found = materialise(found, "round")
+            release(distinct.sparkSession)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _links(distinct: DataFrame, count: int, bits: int, first: int, last: int, most: int) -> DataFrame:
+    """Links by the chains from `first` to `last`."""
+    spark = distinct.sparkSession
+    starts = last - first
     group = max(GROUP, -(-count * starts // HOT))
     buckets = int(max(32, -(-count * starts * 84 // (16 << 20))))
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = batch.column("least").to_numpy(zero_copy_only=False)
         prints = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), dtype=U64).reshape(-1, WORDS)
-        return ids, prints, _keys(prints, bits, starts)
+        return ids, prints, _keys(prints, bits, last, first)
 
     def bucket_of(keys: np.ndarray) -> np.ndarray:
         return ((keys >> U64(20)) % U64(buckets)).astype(np.int32)
@@ -207,7 +240,7 @@ def links(distinct: DataFrame, similarity: float) -> DataFrame:
                 blobs.append(b"".join((np.array([b - a, len(used)], dtype=np.int64).tobytes(), key[a:b].tobytes(), index.astype(np.uint32).tobytes(), ids[used].tobytes(), prints[used].tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(owner[begin]), pa.array(blobs, pa.binary())], ["bucket", "payload"])
 
-    return distinct.mapInArrow(tidy(send), "bucket int, payload binary").groupBy("bucket").applyInArrow(tidy_group(_search(budget(similarity))), "a long, b long")
+    return distinct.mapInArrow(tidy(send), "bucket int, payload binary").groupBy("bucket").applyInArrow(tidy_group(_search(most)), "a long, b long")
 
 
 def near_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

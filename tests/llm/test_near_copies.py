@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from sparkfolio.llm import near_copies
-from sparkfolio.llm.near_copies import budget, chains, near_groups, one_of_each
+from sparkfolio.llm.near_copies import _keys, budget, chains, near_groups, one_of_each
 
 
 def shingles(t, k=5):
@@ -69,3 +69,26 @@ def test_numbers():
         same = np.concatenate([r.random(512) > 0.151] * 2)
         hit += any(same[p : p + bits].all() for p in (np.arange(starts) * 512) // starts)
     assert hit / 300 > 0.96
+
+
+def shared(count, differing, pairs=1000):
+    """Share of pairs of fingerprints with so many differing bits that have a chain in common."""
+    r = np.random.default_rng(count)
+    one = r.integers(0, 2, (pairs, 512), dtype=np.uint8)
+    other = one ^ (r.random((pairs, 512)).argsort(axis=1) < differing)
+    bits, starts = chains(count, 0.8)
+    a, b = (_keys(np.packbits(x.astype(np.uint8), axis=1).view(np.uint64), bits, starts) for x in (one, other))
+    return (a == b).any(axis=1).mean()
+
+
+def test_recall_is_the_same_at_every_count():
+    for count in (10**3, 200_000, 12 * 10**6, 120 * 10**6, 10**9):
+        assert shared(count, budget(0.8)) > 0.95, count  # 1 - MISS, and three standard deviations
+        assert shared(count, 78) > 0.99, count  # the mean at similarity 0.8
+
+
+def test_rounds(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(families=10), "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in near_groups(df).collect()}
+    monkeypatch.setattr(near_copies, "ROUND", 30)
+    assert {r.doc_id: r.component_id for r in near_groups(df).collect()} == want
