@@ -2,7 +2,8 @@
 
 Words (runs of letters and digits, lower-cased) that the benchmark uses are the terms. Passages of PASSAGE words, every
 STRIDE words of every document, are TF-IDF vectors over the terms, with document frequencies counted over all documents.
-A randomised SVD of all passages, A'(A G) for a seeded Gaussian G summed over the tasks and orthonormalised, gives the
+A randomised SVD of passages that follow each other from a
+text's first word to its last, A'(A G) for a seeded Gaussian G summed over the tasks and orthonormalised, gives the
 latent space; passages whose cosine with a benchmark item reaches `cosine` there are candidates. A candidate is
 confirmed on the words themselves: the longest common subsequence of the item and the passage's surroundings must reach
 `common` of the item, and the same share `answer` of the item's last words (its answer) must appear in it.
@@ -92,12 +93,12 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def _passages(begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(begin: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, end and text of each passage."""
     count = np.diff(begin)
-    each = np.where(count > 0, np.maximum(1, -(-(count - PASSAGE) // STRIDE) + 1), 0)
+    each = np.where(count > 0, np.maximum(1, -(-(count - PASSAGE) // stride) + 1), 0)
     text = np.repeat(np.arange(len(count)), each)
-    first = begin[text] + STRIDE * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+    first = begin[text] + stride * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
     return first, np.minimum(first + PASSAGE, begin[text + 1]), text
 
 
@@ -151,19 +152,14 @@ def latent_space(docs: DataFrame, terms: Terms, idf: np.ndarray, rank: int, seed
             at, term = at[keep], term[keep]
             if not len(at):
                 continue
-            first, last, _ = _passages(begin)
-            whole = np.arange(0, len(first), 2)  # every word is in one of every second passage, but at a text's end
-            first, last = first[whole], last[whole]
+            first, last, _ = _passages(begin, PASSAGE)  # from each text's first word to its last: every word is in one
             size = np.sqrt(np.maximum(_sums(at, (weight[term] ** 2)[:, None], first, last), 1e-12))
             y = _sums(at, g[term], first, last) / size
             owner = np.searchsorted(first, at, side="right") - 1
-            inside = at < last[owner]
-            owner, mine = owner[inside], term[inside]
-            rows = y[owner] * (weight[mine] / size[owner, 0])[:, None]
-            order = np.argsort(mine, kind="stable")
-            starts = np.flatnonzero(np.append(True, mine[order][1:] != mine[order][:-1])) if len(order) else order
-            if len(starts):
-                total[mine[order][starts]] += np.add.reduceat(rows[order], starts, axis=0)
+            rows = y[owner] * (weight[term] / size[owner, 0])[:, None]
+            order = np.argsort(term, kind="stable")
+            starts = np.flatnonzero(np.append(True, term[order][1:] != term[order][:-1]))
+            total[term[order][starts]] += np.add.reduceat(rows[order], starts, axis=0)
         for k in range(0, len(total), part):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + part].tobytes()], pa.binary())], ["place", "sums"])
 

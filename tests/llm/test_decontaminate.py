@@ -72,3 +72,17 @@ def test_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert leaks(docs, none).count() == 0
     assert leaks(docs.limit(0), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+def test_every_word_of_every_document_is_in_the_space(spark):
+    import numpy as np
+
+    from sparkfolio.llm.decontaminate import document_frequencies, latent_space, terms_of
+
+    texts = [f"a{d} b{d}" for d in range(41)] + [f"first{d} " + "x " * 70 + f"last{d}" for d in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    terms = terms_of([(0, " ".join(texts).replace("x ", ""))])
+    df, n = document_frequencies(docs, terms)
+    assert (df == 1).all()
+    space = latent_space(docs, terms, np.log((1 + n) / (1 + df)), 8)
+    assert (np.linalg.norm(space, axis=1) > 0.1).all()
