@@ -193,6 +193,21 @@ def confirm(item: np.ndarray, around: np.ndarray, common: float, answer: float)
     return share, told, told >= answer
 
 
+def anchors_of(term: np.ndarray, df: np.ndarray, common: float) -> list[int]:
+    """Places in an item (its words as terms) from which it is searched. For an item under SHORT words its rarest word; for
+    others the rarest words that documents hold, so many that a common subsequence of the share `common` has one of them;
+    none where too few of its words are held."""
+    if len(term) < SHORT:
+        return [int(np.argmin(df[term]))]
+    words, place, times = np.unique(term, return_index=True, return_counts=True)
+    held = df[words] > 0
+    spare = int((1 - common) * len(term) + 1e-9) - int(times[~held].sum())  # held words that may still be missing
+    if spare < 0:
+        return []
+    order = np.flatnonzero(held)[np.argsort(df[words[held]], kind="stable")]
+    return place[order[: int(np.searchsorted(np.cumsum(times[order]), spare, side="right")) + 1]].tolist()
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.45, common: float = 0.65, answer: float = 0.5) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, cosine, common, answer."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -217,26 +232,28 @@ def _leaks(docs: DataFrame, terms: Terms, rank: int, cosine: float, common: floa
     idf = np.log((1 + n) / (1 + df))
     used = df <= COMMON_TERM * n
     for s in terms.items:
-        term = np.searchsorted(terms.names, s)
+        term = np.unique(np.searchsorted(terms.names, s))
+        term = term[df[term] > 0]
         used[term[np.argsort(df[term], kind="stable")[:RARE]]] = True
-    idf = np.where(used, idf, 0.0)
+    idf = np.where(used & (df > 0), idf, 0.0)  # words that no document holds have no direction
     space = latent_space(docs, terms, idf, rank)
     vectors = []
     for s in terms.items:
         at, term = terms.places(s)
         vectors.append(space[term].sum(axis=0))
     vectors = np.array(vectors, dtype=np.float64)
-    # short items must appear word for word, and items of common terms alone have no vector: both start from their rarest word
+    # short items must appear word for word, and items of common terms alone have no vector: both start from their rarest words
     shown = (np.linalg.norm(vectors, axis=1) > 1e-6) & (np.fromiter(map(len, terms.items), dtype=np.int64) >= SHORT)
-    rarest = {int(i): int(np.argmin(df[np.searchsorted(terms.names, terms.items[i])])) for i in np.flatnonzero(~shown)}
+    rarest = {int(i): anchors_of(np.searchsorted(terms.names, terms.items[i]), df, common) for i in np.flatnonzero(~shown)}
     held = spark.sparkContext.broadcast((terms, idf, space, _unit(vectors).astype(np.float32), np.flatnonzero(shown), rarest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, weight, v, items, seen, unseen = held.value
         latent = items[seen].T
-        anchors: dict[int, list[int]] = {}
-        for i, w in unseen.items():
-            anchors.setdefault(int(t.items[i][w]), []).append(i)
+        anchors: dict[int, list[tuple[int, int]]] = {}
+        for i, places in unseen.items():
+            for w in places:
+                anchors.setdefault(int(t.items[i][w]), []).append((i, w))
         anchored = np.array(sorted(anchors), dtype=U64)
         for batch, texts in slices(batches):
             names, begin = word_names(texts)
@@ -264,11 +281,14 @@ def _leaks(docs: DataFrame, terms: Terms, rank: int, cosine: float, common: floa
                     score = _unit(rows) @ latent
                     for p, i in zip(*(x.tolist() for x in np.nonzero(score >= cosine))):
                         consider(int(block[p]), int(seen[i]), float(score[p, i]))
+            done: set[tuple[int, int]] = set()
             for w in np.flatnonzero(np.isin(names, anchored)).tolist() if len(anchored) else ():
-                for i in anchors[int(names[w])]:
-                    item, low = t.items[i], w - unseen[i]
-                    if len(item) >= SHORT or low >= 0 and np.array_equal(names[low : low + len(item)], item):
-                        consider(int(np.searchsorted(first, w, side="right") - 1), i, 0.0)
+                p = int(np.searchsorted(first, w, side="right") - 1)
+                for i, place_in in anchors[int(names[w])]:
+                    item, low = t.items[i], w - place_in
+                    if (p, i) not in done and (len(item) >= SHORT or low >= 0 and np.array_equal(names[low : low + len(item)], item)):
+                        done.add((p, i))
+                        consider(p, i, 0.0)
             if best:
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 keys = sorted(best)

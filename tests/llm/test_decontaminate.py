@@ -86,3 +86,24 @@ def test_every_word_of_every_document_is_in_the_space(spark):
     assert (df == 1).all()
     space = latent_space(docs, terms, np.log((1 + n) / (1 + df)), 8)
     assert (np.linalg.norm(space, axis=1) > 0.1).all()
+
+
+def test_words_that_no_document_holds_hide_no_item(spark):
+    r = random.Random(5)
+    held = [f"c{i}" for i in range(14)]
+    for everywhere in (False, True):  # in half of the documents, or in all
+        docs = [(d, " ".join(r.sample(held, 14) if everywhere or d % 2 else ["other", f"o{d}"])) for d in range(60)] + [(60, " ".join(held))]
+        item = [*held[:3], "no1", "no2", *held[3:7], "no3", "no4", *held[7:], "no5", "no6"]
+        got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+        assert [(r.doc_id, r.item_id) for r in got.collect()] == [(60, 1)]
+
+
+def test_anchors():
+    import numpy as np
+
+    from sparkfolio.llm.decontaminate import anchors_of
+
+    term = np.arange(20)
+    assert anchors_of(term, np.arange(20) + 1, 0.65) == list(range(8))  # 7 words may be missing
+    assert anchors_of(term, np.maximum(np.arange(20) - 4, 0), 0.65) == [5, 6, 7]  # 5 of the 7 are
+    assert anchors_of(term, np.maximum(np.arange(20) - 7, 0), 0.65) == []
