@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkfolio.schemas import DOCUMENT
 from sparkfolio.sources.files import MAX_BYTES
 from sparkfolio.sources.formats import registrations
-from sparkfolio.sources.parse import REFUSED, parse_files
+from sparkfolio.sources.parse import REFUSED, Parser, parse_files
 
 from .detect import detect, format_info
 from .registry import dispatch
@@ -42,29 +43,39 @@ def detection_body(key: Column, confidence: Column, method: Column) -> Column:
     return F.to_json(F.struct(info.alias("format"), confidence.cast("float").alias("confidence"), method.alias("method"), message.alias("message")))
 
 
-def convert(files: DataFrame, fallback: bool = True, limit: int = MAX_BYTES, known: DataFrame | None = None) -> DataFrame:
-    """files (name, length, content) with status, content_type and body. Rows never fail the job. Only files with a
-    parser whose gate agrees are parsed in Python; the rest never leaves the JVM."""
+def convert(files: DataFrame, fallback: bool = True, limit: int = MAX_BYTES, known: DataFrame | None = None, own: dict[str, Parser] | None = None, render: Callable[[Column], Column] = render_document) -> DataFrame:
+    """files (name, length, content and more) with status, content_type and body instead of content: a row for each file,
+    and none fails the job. A null length is the content's own; a file without content is empty.
+
+    One pass: detection and gates are expressions, one Arrow map parses the rows that have a parser, and the response is
+    an expression again. Content of files over the limit goes no further than the scan. own: further parsers by MIME type
+    (see sources.parse.parse_files), which win over the registered ones. render: document to body."""
     known = registrations(files.sparkSession) if known is None else known
-    columns = files.columns
-    routed = dispatch(detect(files.where(F.col("length") <= limit)), known)
-    able, rest = routed.where(F.col("parser").isNotNull()), routed.where(F.col("parser").isNull())
-    rows = parse_files(able).unionByName(rest.withColumn("document", F.lit(None).cast(DOCUMENT)))
+    if own:
+        known = known.unionByName(files.sparkSession.createDataFrame([(10_000 + i, getattr(p, "__name__", m), m) for i, (m, p) in enumerate(own.items())], known.schema))
+    columns = [c for c in files.columns if c != "content"]
+    sized = files.withColumn("__size", F.coalesce(F.col("length"), F.octet_length("content"), F.lit(0))).withColumn("__large", F.col("__size") > limit)
+    sized = sized.withColumn("content", F.when(~F.col("__large"), F.coalesce("content", F.lit(b""))))
+    routed = dispatch(detect(sized), known)
+    rows = parse_files(routed.withColumn("__wanted", F.col("parser").isNotNull() & ~F.col("__large")), own=own, wanted="__wanted", keep_content=False)
     failure = F.col("document.error")
-    refused = F.col("document").isNull() | (failure["kind"] == REFUSED)
+    refused = ~F.col("__wanted") | F.coalesce(failure["kind"] == REFUSED, F.lit(False))
     status = (
-        F.when(F.col("format").isNull(), 415)
+        F.when(F.col("__large"), 400)
+        .when(F.col("format").isNull(), 415)
         .when(refused, 200 if fallback else 501)
         .when(failure.isNotNull(), 500)
         .otherwise(200)
     )
-    message = F.when(F.col("format").isNull(), F.lit("Unable to detect file format")).when(refused, F.concat(F.lit("No parser available for format: "), format_info(F.col("format"))["name"])).otherwise(F.concat(F.lit("Failed to parse document: "), failure["message"]))
-    html = (status == 200) & ~F.coalesce(refused, F.lit(False))
-    body = F.when(html, render_document(F.col("document"))).when(status == 200, detection_body(F.col("format"), F.col("confidence"), F.col("method"))).otherwise(error_body(status, message))
-    done = rows.select(*columns, status.alias("status"), F.when(html, HTML).otherwise(JSON).alias("content_type"), body.alias("body"))
-    large = files.where(F.col("length") > limit)
-    too_large = F.concat(F.lit("File size "), F.col("length").cast("string"), F.lit(" exceeds maximum of "), F.lit(str(limit)))
-    return done.unionByName(large.select(*columns, F.lit(400).alias("status"), F.lit(JSON).alias("content_type"), error_body(F.lit(400), too_large).alias("body")))
+    message = (
+        F.when(status == 400, F.concat(F.lit("File size "), F.col("__size").cast("string"), F.lit(f" exceeds maximum of {limit}")))
+        .when(status == 415, F.lit("Unable to detect file format"))
+        .when(status == 501, F.concat(F.lit("No parser available for format: "), format_info(F.col("format"))["name"]))
+        .otherwise(F.concat(F.lit("Failed to parse document: "), failure["message"]))
+    )
+    html = (status == 200) & ~refused
+    body = F.when(html, render(F.col("document"))).when(status == 200, detection_body(F.col("format"), F.col("confidence"), F.col("method"))).otherwise(error_body(status, message))
+    return rows.select(*columns, status.alias("status"), F.when(html, HTML).otherwise(JSON).alias("content_type"), body.alias("body"))
 
 
 def tally(rows: DataFrame, status: str = "status") -> DataFrame:

@@ -26,7 +26,9 @@ def block_text(block: Column) -> Column:
 
 
 def page_text(page: Column) -> Column:
-    return F.array_join(F.filter(F.transform(page["blocks"], block_text), lambda t: t.isNotNull()), "\n")
+    """Text of the page's own blocks; what is inside containers doesn't count."""
+    own = F.filter(page["blocks"], lambda b: F.coalesce(b["depth"], F.lit(0)) == 0)
+    return F.array_join(F.filter(F.transform(own, block_text), lambda t: t.isNotNull()), "\n")
 
 
 def document_text(document: Column) -> Column:

@@ -126,8 +126,12 @@ def image_tag(found: Column, mime: Column, data: Column, alt: Column) -> Column:
     return F.when(~found, "<p><em>[Image not found]</em></p>").when(data.isNull(), "<p><em>[Image data missing]</em></p>").otherwise(tag)
 
 
+def _opened(kind: str, bounds: Column) -> Column:
+    return F.when(_has_place(bounds), _text(f'<div class="{kind}" style="', _placed(bounds), '">')).otherwise(f'<div class="{kind}">')
+
+
 def _boxed(kind: str, bounds: Column, html: Column) -> Column:
-    return F.when(_has_place(bounds), _text(f'<div class="{kind}" style="', _placed(bounds), '">', html, "</div>")).otherwise(_text(f'<div class="{kind}">', html, "</div>"))
+    return _text(_opened(kind, bounds), html, "</div>")
 
 
 def _image_of(images: Column, resource_id: Column) -> Column:
@@ -157,10 +161,24 @@ def render_block(block: Column, images: Column) -> Column:
         .when(kind == "Image", render_image(block, images))
         .when(kind == "Table", render_table(block))
         .when(kind == "Vector", render_vector(block))
+        .when(kind == "Container", _opened("container-block", block["bounds"]))
         .otherwise("")
     )
 
 
+def render_blocks(blocks: Column, images: Column) -> Column:
+    """Blocks in order, with containers around what is inside them: after each block as many end as the next block's depth
+    asks for, and siblings are parted by line feeds."""
+    depth = lambda i: F.coalesce(F.get(blocks, i)["depth"], F.lit(0))
+
+    def one(block: Column, i: Column) -> Column:
+        first = (i == 0) | (depth(i - 1) < depth(i))
+        ends = depth(i) + (block["kind"] == "Container").cast("int") - depth(i + 1)
+        return _text(F.when(first, "").otherwise("\n"), render_block(block, images), F.repeat(F.lit("</div>"), F.greatest(ends, F.lit(0))))
+
+    return F.array_join(F.transform(blocks, one), "")
+
+
 def render_container(bounds: Column, children: Column) -> Column:
     return _boxed("container-block", bounds, F.array_join(children, "\n"))
 
@@ -189,7 +207,7 @@ def render_page(page: Column, number: Column, images: Column) -> Column:
     covers = F.coalesce(covers, F.lit(False))
     back = F.when(covers, _text("background-image: url('data:", image["mime_type"], ";base64,", base64_plain(image["data"]), "'); background-size: cover; background-position: center;")).otherwise("background-color: white;")
     shown = F.filter(page["blocks"], lambda _, i: ~(covers & (i == 0)))
-    content = F.array_join(F.transform(shown, lambda x: render_block(x, images)), "\n")
+    content = render_blocks(shown, images)
     return _text('<div class="page" style="width: ', _px(page["width"]), "; height: ", _px(page["height"]), "; position: relative; overflow: hidden; ", back, '">\n        <div class="page-number" style="display: none;">Page ', number.cast("string"), "</div>\n        ", content, "\n    </div>")
 
 
@@ -202,7 +220,7 @@ def render_pages(document: Column) -> Column:
     pages, images = document["pages"], document["images"]
     bare = F.coalesce(F.try_element_at(document["metadata"]["custom"], F.lit("format"))["s"].isin(*PAGELESS), F.lit(False)) | ((F.size(pages) == 1) & has_viewer(F.get(pages, F.lit(0))))
     blocks = F.flatten(F.transform(pages, lambda p: p["blocks"]))
-    plain = F.array_join(F.transform(blocks, lambda b: render_block(b, images)), "\n")
+    plain = render_blocks(blocks, images)
     wrapped = F.array_join(F.transform(pages, lambda p, i: render_page(p, i + 1, images)), "\n")
     return F.when(bare, plain).otherwise(wrapped)
 

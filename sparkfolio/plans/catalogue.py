@@ -1,11 +1,7 @@
-"""Every query of the library with its oracle. Names without an oracle need Python parsers or streams; tests hold those
-against golden results."""
+"""Every query of the library with its oracle; those over packed formats are in packed."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,12 +115,14 @@ def text_stats(spark, sf_dir):
     return _named(spark, sf_dir).select("doc_id", *(v.alias(k) for k, v in stats(F.col("text"), F.col("name")).items()))
 
 
-@query("""SELECT doc_id, coalesce((octet_length(encode(t)) - octet_length(encode(regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))))::DOUBLE / nullif(octet_length(encode(t)), 0) < 0.1, false) AS is_text
-FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN chr(1) || chr(2) || substr(text, 1, 5) WHEN 1 THEN '' ELSE text END AS t FROM documents)""")
+@query("""SELECT doc_id, kind, coalesce((octet_length(encode(t)) - octet_length(encode(regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))))::DOUBLE / nullif(octet_length(encode(t)), 0) < 0.1, false) AS is_text
+FROM (SELECT doc_id, 'whole' AS kind, text AS t FROM documents UNION ALL SELECT doc_id, 'control', repeat(chr(1) || chr(2), (doc_id % 9)::INT) || text FROM documents UNION ALL SELECT doc_id, 'key', chr(1) || doc_id::VARCHAR || 'abcd' FROM documents UNION ALL SELECT doc_id, 'empty', '' FROM documents)""")
 def text_gate(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    t = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\x01\x02"), F.substring("text", 1, 5))).when(F.col("doc_id") % 7 == 1, F.lit("")).otherwise(F.col("text"))
-    return docs.select("doc_id", T.is_likely_text(F.encode(t, "UTF-8")).alias("is_text"))
+    """Whole texts, the same after control characters, and two made-up rows a document: a key near the limit and nothing."""
+    control = F.concat(F.repeat(F.lit("\x01\x02"), (F.col("doc_id") % 9).cast("int")), F.col("text"))
+    kinds = {"whole": F.col("text"), "control": control, "key": F.concat(F.lit("\x01"), F.col("doc_id").cast("string"), F.lit("abcd")), "empty": F.lit("")}
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("t")) for k, t in kinds.items()))).alias("x"))
+    return rows.select("doc_id", "x.kind", T.is_likely_text(F.encode("x.t", "UTF-8")).alias("is_text"))
 
 
 @query(f"""SELECT page_id, CASE WHEN s > 0 AND strpos(substr(html, s + 7), '</title>') > 0 THEN regexp_replace(regexp_replace(substr(html, s + 7, strpos(substr(html, s + 7), '</title>') - 1), '^{_SQL_SPACE}', ''), '{_SQL_SPACE}$', '') END AS title
@@ -385,10 +383,10 @@ def convert_tally(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_returnflag = 'R' OR coalesce(p_size % 2 = 0, false) AS bold, l_linestatus = 'F' OR coalesce(p_size % 3 = 0, false) AS italic, l_returnflag = 'A' AS underline,
-coalesce(CASE WHEN l_linenumber > 3 THEN '#111111' END, p_brand) AS color, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END, p_size::DOUBLE) AS size, p_type AS font FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 4 > 0""")
+coalesce(CASE WHEN l_linenumber > 3 THEN '#111111' END, p_brand) AS color, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity END, p_size::DOUBLE) AS size, p_type AS font FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE -l_partkey END AS style_id FROM lineitem) LEFT JOIN part ON style_id = p_partkey""")
 def style_overlay(spark, sf_dir):
-    runs = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("style_id"), (F.col("l_returnflag") == "R").alias("bold"), (F.col("l_linestatus") == "F").alias("italic"), (F.col("l_returnflag") == "A").alias("underline"), F.when(F.col("l_linenumber") > 3, F.lit("#111111")).alias("color"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).alias("size"), F.lit(None).cast("string").alias("font"))
-    named = _table(spark, sf_dir, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("style_id"), (F.col("p_size") % 2 == 0).alias("bold"), (F.col("p_size") % 3 == 0).alias("italic"), F.col("p_brand").alias("color"), F.col("p_size").cast("double").alias("size"), F.col("p_type").alias("font"))
+    runs = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("style_id"), (F.col("l_returnflag") == "R").alias("bold"), (F.col("l_linestatus") == "F").alias("italic"), (F.col("l_returnflag") == "A").alias("underline"), F.when(F.col("l_linenumber") > 3, F.lit("#111111")).alias("color"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")).alias("size"), F.lit(None).cast("string").alias("font"))
+    named = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("style_id"), (F.col("p_size") % 2 == 0).alias("bold"), (F.col("p_size") % 3 == 0).alias("italic"), F.col("p_brand").alias("color"), F.col("p_size").cast("double").alias("size"), F.col("p_type").alias("font"))
     return L.overlay_styles(runs, named).drop("style_id")
 
 
@@ -415,9 +413,10 @@ def paginate(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", L.page_count(lines).alias("page_count"))
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS page_no FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 3 <> 1)")
+@query("SELECT conv_id, number, row_number() OVER (PARTITION BY conv_id ORDER BY number)::INT AS page_no FROM (SELECT DISTINCT conv_id, turn * 3 AS number FROM conversations)")
 def page_numbers(spark, sf_dir):
-    return L.renumbered(_table(spark, sf_dir, "conversations").where("turn % 3 <> 1").select("conv_id", "turn").distinct(), ["conv_id"], "turn")
+    """Pages numbered with gaps, as where pages between have no content."""
+    return L.renumbered(_table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 3).alias("number")).distinct(), ["conv_id"], "number")
 
 
 @query("SELECT l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) <= 100")
@@ -493,53 +492,3 @@ def ics_parse(spark, sf_dir):
 @query("SELECT page_id, regexp_extract(html, '<title>\\s*([^<]*?)\\s*</title>', 1) AS title, NULL::VARCHAR AS author, 1::BIGINT AS pages, html AS text, NULL::VARCHAR AS error FROM pages")
 def html_parse(spark, sf_dir):
     return _extracted(_files(_table(spark, sf_dir, "pages"), "page_id", F.encode("html", "UTF-8"), "html"), "page_id")
-
-
-@query()
-def package_parse(spark, sf_dir):
-    """One small file of every binary format: what each parser makes of it."""
-    rows = [(i, n, bytearray(b), S.FORMATS[k][0]) for i, (n, k, b) in enumerate(fixtures.packages())]
-    return _extracted(spark.createDataFrame(rows, "id int, name string, content binary, mime_type string"), "id")
-
-
-@query()
-def archive_listing(spark, sf_dir):
-    """The nations of each region as files of a ZIP and a TAR archive."""
-    n = _table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
-
-    def pack(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for names in b.column("names").to_pylist():
-                z, t = io.BytesIO(), io.BytesIO()
-                with zipfile.ZipFile(z, "w") as f, tarfile.open(fileobj=t, mode="w", format=tarfile.USTAR_FORMAT) as g:
-                    for x in names:
-                        f.writestr(zipfile.ZipInfo(f"{x}.txt"), x * 200)
-                        info = tarfile.TarInfo(f"{x}.txt")
-                        info.size = len(x)
-                        g.addfile(info, io.BytesIO(x.encode()))
-                out.append((z.getvalue(), t.getvalue()))
-            yield pa.RecordBatch.from_arrays([b.column("n_regionkey"), pa.array([z for z, _ in out]), pa.array([t for _, t in out])], ["n_regionkey", "zip", "tar"])
-
-    packed = n.mapInArrow(pack, "n_regionkey int, zip binary, tar binary")
-    files = packed.select("n_regionkey", F.explode(F.array(F.struct(F.lit("a.zip").alias("name"), F.col("zip").alias("content")), F.struct(F.lit("a.tar").alias("name"), F.col("tar").alias("content")))).alias("f")).select("n_regionkey", "f.*")
-    parsed = parse_files(D.detect(files).select("n_regionkey", "name", "content", "mime_type"))
-    return X.cells_of(parsed.withColumn("doc_id", F.concat(F.col("n_regionkey").cast("string"), F.lit("/"), F.col("name")))).select("doc_id", "row_no", "col_no", "text")
-
-
-@query()
-def convert_files(spark, sf_dir):
-    """Text, HTML and mail documents through the whole service."""
-    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
-    files = _named(spark, sf_dir).select("name", "content").unionByName(pages).withColumn("length", F.octet_length("content").cast("long"))
-    return C.convert(files).select("name", "status", "content_type", F.sha2("body", 256).alias("body_sha256"))
-
-
-@query()
-def stream_text_stats(spark, sf_dir):
-    """text_stats over a stream of the documents table, run to its end."""
-    from sparkfolio.streaming.documents import streamed_stats
-
-    return streamed_stats(spark, sf_dir)

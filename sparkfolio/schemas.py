@@ -1,7 +1,8 @@
 """The unified document model as Spark types.
 
-Order is carried by array position. The model has no recursive type: a table cell holds text blocks, and containers are
-rows of an adjacency table (see operators.render.render_containers).
+Order is carried by array position. The model has no recursive type: a table cell holds text blocks, and a container is
+followed by the blocks inside it, whose `depth` is one more than its own (null is 0, the page's own blocks). Containers
+of any size can also be rows of an adjacency table (see operators.render.render_containers).
 """
 
 RECT = "struct<x:double,y:double,width:double,height:double>"
@@ -12,7 +13,7 @@ PATH = "struct<commands:array<struct<op:string,points:array<double>>>,fill:strin
 BLOCK = (
     f"struct<kind:string,bounds:{RECT},rotation:double,runs:array<{RUN}>,paragraph_style:string,"
     f"fill_color:string,stroke_color:string,stroke_width:double,rows:array<array<{CELL}>>,"
-    f"resource_id:string,alt_text:string,format:string,paths:array<{PATH}>>"
+    f"resource_id:string,alt_text:string,format:string,paths:array<{PATH}>,depth:int>"
 )
 PAGE = f"struct<number:int,width:double,height:double,label:string,rotation:int,blocks:array<{BLOCK}>>"
 IMAGE = "struct<id:string,mime_type:string,data:binary,width:int,height:int>"

@@ -11,7 +11,10 @@ import zlib
 
 from .udm import ParseError, block, cell, document, page, rect, run
 
+#: Colour of heading cells, and the wording of listings below: headings, property names and sizes (fixed values).
 _HEAD = "#CCCCCC"
+#: Bytes that a GZIP file may unpack to; beyond that the file's row is an error, so a worker's memory stays bounded.
+MOST = 1 << 30
 
 
 def size_text(n: int) -> str:
@@ -55,9 +58,12 @@ def is_tar(data: bytes) -> bool:
 
 def parse_gzip(data: bytes, name: str | None = None) -> dict:
     try:
-        plain = gzip.decompress(data)
+        with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+            plain = f.read(MOST + 1)
     except (OSError, EOFError, zlib.error) as e:
         raise ParseError(f"Gzip decompression failed: {e}") from e
+    if len(plain) > MOST:
+        raise ParseError(f"Gzip decompression failed: more than {MOST} bytes")
     if is_tar(plain):
         return parse_tar(plain, name)
     ratio = f"{len(data) / len(plain) * 100:.1f}%" if plain else "inf%"

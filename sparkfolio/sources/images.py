@@ -70,13 +70,13 @@ def write_png(rgba: np.ndarray) -> bytes:
 
 
 def to_byte(samples: np.ndarray) -> np.ndarray:
-    """Samples of any kind as 8 bits: the high byte of unsigned ones, signed ones moved by half their range, floats times 255."""
+    """Samples of any kind as 8 bits: the high byte of whole numbers, signed bytes moved by 128, floats times 255."""
     kind, size = samples.dtype.kind, samples.dtype.itemsize
     if kind == "f":
         return (np.clip(np.nan_to_num(samples), 0, 1) * 255).astype(np.uint8)
-    if kind == "i":
-        samples = (samples.astype(np.int64) + (1 << (8 * size - 1))).astype(np.uint64)
-    return (samples >> np.array(8 * (size - 1), dtype=samples.dtype)).astype(np.uint8) if size > 1 else samples.astype(np.uint8)
+    if size == 1:
+        return (samples.astype(np.int16) + 128).astype(np.uint8) if kind == "i" else samples
+    return (samples >> np.array(8 * (size - 1), dtype=samples.dtype)).astype(np.uint8)
 
 
 def _unpack_bits(data: bytes) -> bytes:
@@ -93,8 +93,37 @@ def _unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _unpack_lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first, one code earlier than the table needs."""
+    out, table = [], []
+    bits = held = at = 0
+    width, last = 9, None
+    while True:
+        while held < width and at < len(data):
+            bits, held, at = bits << 8 | data[at], held + 8, at + 1
+        if held < width:
+            return b"".join(out)
+        held -= width
+        code, bits = bits >> held, bits & ((1 << held) - 1)
+        if code == 257:
+            return b"".join(out)
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        if code > len(table) or (last is None and code > 255):
+            raise ParseError("bad LZW code")
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last is not None:
+            table.append(last + entry[:1])
+        out.append(entry)
+        last = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+
+
 #: TIFF compressions that are read (fixed values).
-_CODECS = {1: bytes, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits}
+_CODECS = {1: bytes, 5: _unpack_lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _unpack_bits}
+#: TIFF's photometric interpretations that are read (fixed values): white is zero, black is zero, RGB.
+_WHITE_ZERO, _BLACK_ZERO, _RGB = 0, 1, 2
 _WIDTH = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4)}
 
 
@@ -117,17 +146,25 @@ def _directories(data: bytes, order: str):
 def _pixels(data: bytes, tags: dict, order: str) -> np.ndarray:
     w, h = tags[256][0], tags[257][0]
     bits, samples = tags.get(258, (1,))[0], tags.get(277, (1,))[0]
-    codec = _CODECS.get(tags.get(259, (1,))[0])
-    if codec is None or bits not in (8, 16, 32, 64) or tags.get(284, (1,))[0] != 1 or tags.get(317, (1,))[0] != 1:
+    codec, meaning, predictor = _CODECS.get(tags.get(259, (1,))[0]), tags.get(262, (_BLACK_ZERO,))[0], tags.get(317, (1,))[0]
+    if codec is None or bits not in (8, 16, 32, 64) or tags.get(284, (1,))[0] != 1 or meaning not in (_WHITE_ZERO, _BLACK_ZERO, _RGB) or predictor not in (1, 2):
         raise ParseError("unsupported TIFF layout")
     raw = b"".join(codec(data[o : o + n]) for o, n in zip(tags[273], tags[279]))
     kind = {1: "u", 2: "i", 3: "f"}.get(tags.get(339, (1,))[0], "u")
-    values = np.frombuffer(raw, dtype=f"{order}{kind}{bits // 8}", count=w * h * samples)
-    p = to_byte(values.astype(values.dtype.newbyteorder("="))).reshape(h, w, samples)
-    if samples == 4:
+    values = np.frombuffer(raw, dtype=f"{order}{kind}{bits // 8}", count=w * h * samples).reshape(h, w, samples)
+    values = values.astype(values.dtype.newbyteorder("="))
+    if predictor == 2 and kind != "f":
+        values = np.cumsum(values, axis=1, dtype=values.dtype)
+    if meaning == _WHITE_ZERO and kind == "u":
+        values = ~values
+    p = to_byte(values)
+    if samples == 4 and values.dtype == np.uint8:
         return p
     opaque = np.full((h, w, 1), 255, np.uint8)
-    return np.concatenate((p[:, :, :3] if samples >= 3 else np.repeat(p[:, :, :1], 3, axis=2), opaque), axis=2)
+    if samples == 3 and values.dtype == np.uint8:
+        return np.concatenate((p, opaque), axis=2)
+    grey = p.reshape(-1)[: w * h].reshape(h, w, 1)  # wider samples are a pixel each, in order
+    return np.concatenate((np.repeat(grey, 3, axis=2), opaque), axis=2)
 
 
 def parse_tiff(data: bytes, name: str | None = None) -> dict:
@@ -137,7 +174,7 @@ def parse_tiff(data: bytes, name: str | None = None) -> dict:
         for n, tags in enumerate(_directories(data, order), 1):
             rgba = _pixels(data, tags, order)
             h, w, _ = rgba.shape
-            picture = block("Image", rect(0.0, 0.0, float(w), float(h)), resource_id=f"img_page_{n}", format="image/png")
+            picture = block("Image", rect(0.0, 0.0, float(w), float(h)), resource_id=f"img_page_{n}", format="image/tiff")
             pages.append(page(n, [picture], (w, h)))
             images.append({"id": f"img_page_{n}", "mime_type": "image/png", "data": write_png(rgba), "width": w, "height": h})
     except (struct.error, KeyError, ValueError, zlib.error) as e:

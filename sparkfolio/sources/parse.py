@@ -56,21 +56,23 @@ def parse_content(mime: str | None, data: bytes, name: str | None, gated: bool =
         return failed(f"{type(e).__name__}: {e}", "Corrupted")
 
 
-def parse_files(files: DataFrame, gated: bool = True, own: dict[str, Parser] | None = None) -> DataFrame:
+def parse_files(files: DataFrame, gated: bool = True, own: dict[str, Parser] | None = None, wanted: str | None = None, keep_content: bool = True) -> DataFrame:
     """files (name, content, mime_type and more) with the column `document`; a row that fails carries its error.
     own: further parsers by MIME type, functions of content and name that return what udm.document makes; of one type the
-    one given here wins."""
+    one given here wins. wanted: a boolean column; where it is false nothing is parsed and the document is null.
+    keep_content: whether the content comes back."""
     ship(files.sparkSession)
     kind = to_arrow_type(_parse_datatype_string(DOCUMENT))
-    columns = files.columns
+    columns = [c for c in files.columns if keep_content or c != "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 16):  # rendered content may be large
                 batch = whole.slice(at, 16)
-                rows = zip(batch.column("mime_type").to_pylist(), batch.column("content").to_pylist(), batch.column("name").to_pylist())
-                documents = [parse_content(m, c or b"", n, gated, own) for m, c, n in rows]
+                which = batch.column(wanted).to_pylist() if wanted else [True] * batch.num_rows
+                rows = zip(which, batch.column("mime_type").to_pylist(), batch.column("content").to_pylist(), batch.column("name").to_pylist())
+                documents = [parse_content(m, c or b"", n, gated, own) if w else None for w, m, c, n in rows]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(documents, type=kind)], [*columns, "document"])
 
-    schema = files.select("*", F.lit(None).cast(DOCUMENT).alias("document")).schema
+    schema = files.select(*columns, F.lit(None).cast(DOCUMENT).alias("document")).schema
     return files.mapInArrow(run, schema)

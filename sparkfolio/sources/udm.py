@@ -22,7 +22,7 @@ def rect(x: float = 0.0, y: float = 0.0, width: float = 0.0, height: float = 0.0
 
 
 def block(kind: str, bounds: dict | None = None, **given) -> dict:
-    empty = dict.fromkeys(("runs", "paragraph_style", "fill_color", "stroke_color", "stroke_width", "rows", "resource_id", "alt_text", "format", "paths"))
+    empty = dict.fromkeys(("runs", "paragraph_style", "fill_color", "stroke_color", "stroke_width", "rows", "resource_id", "alt_text", "format", "paths", "depth"))
     return {"kind": kind, "bounds": bounds or rect(), "rotation": 0.0} | empty | given
 
 

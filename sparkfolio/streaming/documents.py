@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparkfolio.operators.convert import convert
 from sparkfolio.operators.detect import detect
+from sparkfolio.plans.scratch import scratch
 from sparkfolio.sources.files import stream_files
 from sparkfolio.sources.text import stats
 
@@ -34,11 +35,7 @@ def convert_stream(spark: SparkSession, source: str, target: str, checkpoint: st
 
 def streamed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection and counts of the documents table, read as a stream to its end and gathered in the shared folder."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfolio-")
-    target = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    target = scratch(spark, "stream")
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, _, _ = f"{sf_dir}/documents.parquet".rpartition("/")
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/documents.parquet*")

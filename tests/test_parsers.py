@@ -68,7 +68,7 @@ def test_images():
     d = images.parse_tiff(X.tiff([(2, 2, b"\0\x40\x80\xff"), (1, 1, b"\x10")]))
     assert [i["id"] for i in d["images"]] == ["img_page_1", "img_page_2"]
     assert images.png_size(d["images"][0]["data"]) == (2, 2)
-    kinds = {np.uint16: (0x12FF, 0x12), np.uint32: (0xAB000000, 0xAB), np.int8: (0, 128), np.int16: (-32768, 0), np.float32: (2.0, 255)}
+    kinds = {np.uint16: (0x12FF, 0x12), np.uint32: (0xAB000000, 0xAB), np.int8: (0, 128), np.int16: (-32768, 128), np.float32: (2.0, 255)}
     for kind, (value, want) in kinds.items():
         assert images.to_byte(np.array([value], dtype=kind))[0] == want
     with pytest.raises(ParseError):
