@@ -61,7 +61,7 @@ def test_planted(spark):
 def test_blocks_of_items(spark, monkeypatch):
     from sparkfolio.llm import decontaminate
 
-    monkeypatch.setattr(decontaminate, "ITEMS", 15)
+    monkeypatch.setattr(decontaminate, "BLOCK", 2000)
     docs, items, truth = planted()
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
     assert truth <= {(r.doc_id, r.item_id) for r in got.collect()}
@@ -81,10 +81,11 @@ def test_every_word_of_every_document_is_in_the_space(spark):
 
     texts = [f"a{d} b{d}" for d in range(41)] + [f"first{d} " + "x " * 70 + f"last{d}" for d in range(10)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    terms = terms_of([(0, " ".join(texts).replace("x ", ""))])
+    terms = terms_of(spark.createDataFrame([(" ".join(texts).replace("x ", ""),)], "text string"))
     df, n = document_frequencies(docs, terms)
     assert (df == 1).all()
-    space = latent_space(docs, terms, np.log((1 + n) / (1 + df)), 8)
+    space, values = latent_space(docs, terms, np.log((1 + n) / (1 + df)), 8)
+    assert len(values) == 8 and (np.diff(values) <= 0).all()
     assert (np.linalg.norm(space, axis=1) > 0.1).all()
 
 
@@ -107,3 +108,78 @@ def test_anchors():
     assert anchors_of(term, np.arange(20) + 1, 0.65) == list(range(8))  # 7 words may be missing
     assert anchors_of(term, np.maximum(np.arange(20) - 4, 0), 0.65) == [5, 6, 7]  # 5 of the 7 are
     assert anchors_of(term, np.maximum(np.arange(20) - 7, 0), 0.65) == []
+
+
+def passages_matrix(docs, terms, idf):
+    """TF-IDF rows of unit length of all passages that follow each other, by plain loops."""
+    import numpy as np
+
+    from sparkfolio.llm.decontaminate import PASSAGE, word_names
+
+    out = []
+    for _, t in docs:
+        names, _ = word_names([t.encode()])
+        for k in range(0, len(names), PASSAGE):
+            row = np.zeros(terms.size)
+            for x in terms.places(names[k : k + PASSAGE])[1]:
+                row[x] += idf[x]
+            if row.any():
+                out.append(row / np.linalg.norm(row))
+    return np.array(out)
+
+
+def test_singular_values_and_vectors_are_those_of_the_whole_matrix(spark):
+    """A matrix of rank 12, sketched with 16 columns, must come out as numpy's SVD has it."""
+    import numpy as np
+
+    from sparkfolio.llm.decontaminate import document_frequencies, singular, sketch, terms_of
+
+    r = random.Random(3)
+    topics = [[f"t{k}w{i}" for i in range(4)] for k in range(12)]
+    docs = [(d, " ".join(topics[r.randrange(12)] * r.choice([1, 8, 24]))) for d in range(300)] + [(300, ""), (301, "none of them")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    terms = terms_of(spark.createDataFrame([(" ".join(t),) for t in topics], "text string"))
+    seen, n = document_frequencies(df, terms)
+    idf = np.log((1 + n) / (1 + seen))
+    gauss = np.random.default_rng(1).standard_normal((terms.size, 16))
+    vectors, values = singular(sketch(df, terms, idf, gauss), gauss)
+    whole = passages_matrix(docs, terms, idf)
+    _, want, right = np.linalg.svd(whole, full_matrices=False)
+    assert len(values) == (want > 1e-3 * want[0]).sum() == 12
+    assert np.allclose(values, want[:12], rtol=1e-3)
+    assert np.allclose(vectors @ vectors.T, right[:12].T @ right[:12], atol=1e-3)  # the same space
+
+
+def test_rows_do_not_depend_on_how_documents_are_dealt(spark):
+    docs, items, _ = planted()
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    got = []
+    for k, n in enumerate((1, 4, 7)):
+        random.Random(k).shuffle(docs)
+        rows = leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), bench).collect()
+        got.append(sorted(tuple(r) for r in rows))
+    assert got[0] == got[1] == got[2]
+
+
+def test_paraphrases_and_long_items(spark):
+    """Items with 10, 20 and 25 % of their words changed, as documents of their own and inside others; one item is long."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(6000)]
+    items = [[r.choice(words) for _ in range(r.randint(24, 48))] for _ in range(60)] + [[r.choice(words) for _ in range(900)]]
+    docs, truth = [(d, " ".join(r.choice(words) for _ in range(r.choice([20, 300])))) for d in range(500)], set()
+    for rate in (0.1, 0.2, 0.25):
+        for i, item in enumerate(items):
+            for inside in (False, True):
+                t = list(item)
+                for k in r.sample(range(len(t)), int(rate * len(t))):
+                    t[k] = r.choice(words)
+                if longest(item[-8:], t) < 4:
+                    continue
+                if inside:
+                    t = [r.choice(words) for _ in range(r.randint(1, 200))] + t + [r.choice(words) for _ in range(r.randint(1, 200))]
+                truth.add((len(docs), i))
+                docs.append((len(docs), " ".join(t)))
+    got = {(x.doc_id, x.item_id) for x in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()}
+    assert len(truth & got) / len(truth) >= 0.95
+    assert got <= truth
+    assert {d for d, i in truth if i == 60} <= {d for d, _ in got}
