@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -29,20 +28,32 @@ SLICE_BYTES = 600_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where none is named (tests), a folder of this machine."""
+    """The shared folder that the cluster names. Without one a cluster's job stops: others would not see a folder of this
+    machine. Only a local session (tests) may write to its own warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="sparkfolio-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = held.get() if held.isDefined() else spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 
+#: What materialise writes goes to a folder of this process, below the shared one.
+_RUN = f"sparkfolio-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all that this process has materialised. For the end of a job, when its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{_RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df under the shared folder and reads it again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{_RUN}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,12 +62,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast where they are counted to be few enough; beyond that both sides of a join are shuffled."""
+    return broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """documents but those whose doc_id is in ids (materialised, one long column doc_id); rows without doc_id stay. The ids
     are counted, and texts are only shuffled where they are too many to send."""
     ids = ids.where("doc_id IS NOT NULL").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    return documents.join(broadcast(ids) if few else ids, "doc_id", "left_anti").select(documents.columns)
+    return documents.join(few(ids), "doc_id", "left_anti").select(documents.columns)
 
 
 def release(spark: SparkSession) -> None:

@@ -7,7 +7,8 @@ of a seeded hash, so reruns agree. Only counts by length reach a task as a group
 are split by their hash, so however many share a length, no task sorts more than about SPLIT of them.
 
 Defined results: null text has size 0 and is never taken; null is a source of its own, last; equal rows are taken or
-not by count; a source without words has target 0; other columns are ignored.
+not by count; a source without words has target 0; texts of any length count whole; rows without doc_id are told apart by
+size only; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,11 +89,16 @@ def _fit(table: pa.Table) -> pa.Table:
     return pa.table({"place": table.column("place"), "size": table.column("size"), "n": table.column("n"), "whole": pa.array(np.full(len(size), whole, dtype=np.int64)), "take": pa.array(take)})
 
 
+def _size():
+    """Words of the column text."""
+    return F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+
+
 def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 17) -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, taken. weights repeat over the sources in code point order;
     the sources of a mix are few, one row of each is read by the driver."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"))
     docs = materialise(docs, "sizes")
     by = sorted(docs.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.n for r in by], [weights[i % len(weights)] for i in range(len(by))], most)
@@ -110,3 +116,27 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), mo
     inside = decided.where(edge).withColumn("more", (rank <= F.col("chosen")).cast("long"))
     outside = decided.where(~edge).withColumn("more", (F.col("chosen") > 0).cast("long"))
     return inside.unionByName(outside).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("more"))).alias("taken"))
+
+
+def drawn_documents(documents: DataFrame, **options) -> DataFrame:
+    """The rows of documents (all with a doc_id) that the mix takes, with size, source_size, target and taken; a column that
+    documents have already is added as mix_<name>. Repeated rows come back as often as they are taken, each once at most."""
+    added = {c: f"mix_{c}" if c in documents.columns else c for c in ("size", "source_size", "target", "taken")}
+    drawn = materialise(mix_sources(documents, **options).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), *(F.col(c).alias(f"__{c}") for c in added)), "drawn")
+    several = materialise(drawn.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"), "several")
+    add = [F.col(f"__{c}").alias(name) for c, name in added.items()]
+    taken = drawn.where("__taken > 0")
+    if several.isEmpty():
+        return documents.join(taken, F.col("doc_id").cast("long") == F.col("__id")).select(*documents.columns, *add)
+    once = documents.join(taken.join(several, "__id", "left_anti"), F.col("doc_id").cast("long") == F.col("__id")).select(*documents.columns, *add)
+    # ids of several rows: of equal id, source and size as many rows as the mix takes, all alike to it
+    key = ["__id", "__source", "__size"]
+    counts = drawn.join(several, "__id", "left_semi").groupBy(*key).agg(F.first("__source_size").alias("__source_size"), F.first("__target").alias("__target"), F.max("__taken").alias("__high"), F.min("__taken").alias("__low"), F.count("*").alias("__n"), F.sum("__taken").alias("__sum"))
+    high = F.when(F.col("__high") == F.col("__low"), F.col("__n")).otherwise(((F.col("__sum") - F.col("__n") * F.col("__low")) / (F.col("__high") - F.col("__low"))).cast("long"))
+    counts = counts.select(*(F.col(k).alias(f"{k}_of") for k in key), "__source_size", "__target", "__high", "__low", high.alias("__many"))
+    rows = documents.join(several, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").withColumns({"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string"), "__size": _size()})
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+    ranked = rows.withColumn("__rank", rank)
+    met = ranked.join(counts, (F.col("__id") == F.col("__id_of")) & F.col("__source").eqNullSafe(F.col("__source_of")) & (F.col("__size") == F.col("__size_of")))
+    met = met.withColumn("__taken", F.when(F.col("__rank") <= F.col("__many"), F.col("__high")).otherwise(F.col("__low"))).where("__taken > 0")
+    return once.unionByName(met.select(*documents.columns, *add))

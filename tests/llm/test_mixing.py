@@ -56,3 +56,16 @@ def test_mix(spark, monkeypatch, split):
 
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_drawn_documents(spark):
+    """Repeated rows, ids of several texts and columns named like the mix's: as many rows as are taken, none doubled."""
+    r = random.Random(2)
+    docs = [(d, " ".join("w" * r.randint(1, 3) for _ in range(r.randint(1, 9))), r.choice(["a", "b", None])) for d in range(120)]
+    docs += [docs[3]] * 3 + [(7, "x y z", "a"), (7, "x y z", "b"), (7, None, "a"), (8, docs[8][1], docs[8][2])]
+    df = spark.createDataFrame([(d, t, s, "mine", 5) for d, t, s in docs], "doc_id long, text string, source string, size string, taken int").repartition(4)
+    got = mixing.drawn_documents(df).collect()
+    mixed = mix_sources(df).collect()
+    assert sorted((x.doc_id, x.mix_size, x.mix_taken) for x in got) == sorted((x.doc_id, x.size, x.taken) for x in mixed if x.taken)
+    assert all(x["size"] == "mine" and x["taken"] == 5 and x.mix_size == len(x.text.split()) and (x.doc_id, x.text, x.source) in docs for x in got)
+    assert mixing.drawn_documents(df.limit(0)).count() == 0
