@@ -13,7 +13,7 @@ from sparkfolio.llm._common import materialise
 from sparkfolio.llm.decontaminate import decontaminated
 from sparkfolio.llm.language_id import is_held_out, keep_identified, learnt
 from sparkfolio.llm.line_dedup import drop_boilerplate
-from sparkfolio.llm.mixing import mix_sources
+from sparkfolio.llm.mixing import drawn_documents
 from sparkfolio.llm.near_copies import one_of_each
 
 
@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five words, similarity 0.8 or more, verified on the shingles."""
     return one_of_each(docs, shingle=5, similarity=0.8)
 
 
@@ -39,9 +39,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how many of their words it takes; rows without doc_id can't be named and go."""
-    drawn = mix_sources(docs.where("doc_id IS NOT NULL")).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken")
-    return docs.select([c for c in docs.columns if c not in drawn.columns[1:]]).join(drawn, "doc_id")
+    """Documents that the mix takes, with how many of their words it takes; rows without doc_id can't be named and go. A
+    column that documents have already is added as mix_<name>."""
+    return drawn_documents(docs.where("doc_id IS NOT NULL"))
 
 
 STAGES = [
