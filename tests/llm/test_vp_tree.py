@@ -28,8 +28,8 @@ def data(n=900, dim=16):
 
 
 def test_factor_one_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(vp_tree, "SHARD", 200)
-    monkeypatch.setattr(vp_tree, "BLOCK", 30)
+    monkeypatch.setattr(vp_tree, "SHARD", 200 * 16 * 8)
+    monkeypatch.setattr(vp_tree, "BLOCK", 30 * 16 * 8)
     rows = data()
     odd = [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [None] + [1.0] * 15), (5004, [float("nan")] * 16), (5005, [float("inf")] * 16), (5006, [1.0, 2.0]), (None, [1.0] * 16), (7, rows[7][1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, rank int").repartition(3)
@@ -63,3 +63,10 @@ def test_recall_on_the_test_table(spark):
     want = brute(rows, queries, 5)
     got = {(x.query_id, x.vec_id) for x in nearest(df, df.where("vec_id % 50 = 0")).collect()}
     assert sum((q, v) in got for q, w in want.items() for v, _ in w) / sum(map(len, want.values())) >= 0.95
+
+
+def test_large_and_small_components(spark):
+    """Components around 1e200 and 1e-200: squares would leave the range, cosines don't."""
+    rows = [(i, [s * x for x in v]) for i, (v, s) in enumerate(zip(([1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [2.0, 1.0]), (1e200, 1e-200, 1e300, 1.0)))]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), factor=1.0).orderBy("rank").collect()
+    assert [x.vec_id for x in got] == [3, 1, 2] and np.allclose([x.score for x in got], [2 / 5**0.5, 0.5**0.5, 0], atol=1e-15)
