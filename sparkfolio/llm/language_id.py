@@ -2,13 +2,15 @@
 
 Characters are lower-cased and everything that is no letter becomes a space. N-grams of one to three characters are
 hashed to FEATURES places; the term frequency is relative to the text's n-grams, so a text's score is a sum over its
-positions divided by their number and whole texts of any length cost linear time and constant memory. Document
-frequencies come from all labelled documents; the weights are fitted with follow-the-regularised-leader and an
-elastic-net penalty on a bounded sample (per_language documents of each language, those with the least hash), and a
-temperature is fitted on a fifth of that sample.
+positions divided by their number and whole texts of any length cost linear time and constant memory: a text over PIECE
+bytes is summed up in pieces, each with the ORDERS - 1 characters that follow it. Document frequencies come from all
+labelled documents; the weights are fitted with follow-the-regularised-leader and an elastic-net penalty on a bounded
+sample (per_language documents of each language, those with the least hash, and of each at most `chars` characters from a
+place that the hash picks), and a temperature is fitted on a fifth of that sample.
 
 Defined results: null text, or text without a letter: `und` with score 0; equal texts get equal predictions; without
-any labelled row every text is `und`; labels are only ever read for learning; other columns are ignored.
+any labelled row every text is `und`; labels are only ever read for learning; a row without id is predicted, not learnt
+from, and in no held-out fold; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,9 +97,11 @@ class Model:
         score[some] = p
         return names, score
 
-    def _sums(self, texts: list[bytes], every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sums of weights and numbers of characters of the texts with a letter (or of all), and which these are."""
+    def _sums(self, texts: list[bytes], every: bool = False, after: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of weights and numbers of characters of the texts with a letter (or of all), and which these are. after:
+        characters at the end of each text that only complete the n-grams before them."""
         by_order, begin, count, has = grams(texts)
+        count = count - after
         some = np.flatnonzero(has | every & (count > 0))
         edges = np.stack((begin[some], begin[some] + count[some]), axis=1).ravel()
         total = np.zeros((len(some), len(self.languages)))
@@ -115,23 +119,30 @@ class Model:
         return best, p[np.arange(len(p)), best]
 
     def _long(self, text: bytes) -> tuple[list[str], np.ndarray]:
-        """One long text in pieces; n-grams across their edges end in spaces, as at a text's end."""
+        """One long text in pieces, with the n-grams of the whole."""
         total, count, letters = np.zeros((1, len(self.languages))), np.zeros(1), False
         begin = 0
         while begin < len(text):
-            end = min(len(text), begin + PIECE)
-            while end < len(text) and text[end] & 0xC0 == 0x80:
-                end -= 1
-            part = text[begin:end]
-            t, n, _ = self._sums([part], every=True)
+            end = _whole(text, begin + PIECE)
+            beyond, after = end, 0
+            while after < ORDERS - 1 and beyond < len(text):
+                beyond, after = _whole(text, beyond + 1), after + 1
+            t, n, _ = self._sums([text[begin:beyond]], every=True, after=after)
+            letters = letters or bool(grams([text[begin:end]])[3][0])
             total, count, begin = total + t.sum(axis=0), count + n.sum(), end
-            letters = letters or bool(grams([part])[3][0])
         if not letters:
             return [UNKNOWN], np.zeros(1)
         best, p = self._decided(total, count)
         return [self.languages[best[0]]], p
 
 
+def _whole(text: bytes, at: int) -> int:
+    """The first place from `at` on that begins a character, or the end."""
+    while at < len(text) and text[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(text))
+
+
 def _features(texts: list[bytes], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     by_order, begin, count, _ = grams(texts)
     out = []
@@ -214,8 +225,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:FEATURES], int(out[FEATURES])
 
 
-def learnt(labelled: DataFrame, per_language: int = 800) -> Model:
-    """labelled: doc_id, text, lang; rows with a null are left out. per_language bounds the rows used to fit weights."""
+def learnt(labelled: DataFrame, per_language: int = 800, chars: int = 20_000) -> Model:
+    """labelled: doc_id, text, lang; rows with a null are left out. per_language bounds the rows used to fit weights, and
+    chars what is used of each, so the driver gets languages x per_language x chars characters at most."""
     labelled = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     df, n = document_frequencies(labelled.select("doc_id", "text"))
     idf = np.log((1 + n) / (1 + df)) + 0.1
@@ -225,7 +237,8 @@ def learnt(labelled: DataFrame, per_language: int = 800) -> Model:
     few = labelled.select("doc_id", "lang", place.alias("place")).where(F.col("place") < F.try_element_at(F.create_map(*bounds), F.col("lang"))) if bounds else labelled.select("doc_id", "lang", place.alias("place"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     ids = [x[0] for x in few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id").collect()]
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars + 1, F.lit(1))) + 1
+    rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("text"), "lang").collect() if ids else []
     rows.sort(key=lambda x: (zlib.crc32(str(x.doc_id).encode()), x.doc_id, x.lang, x.text))
     return fit([x.text for x in rows], [x.lang for x in rows], idf)
 
@@ -255,8 +268,8 @@ def keep_identified(documents: DataFrame, model: Model, least: float = 0.3) -> D
 
 
 def is_held_out(doc_id="doc_id"):
-    """The fold that is never learnt from."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """The fold that is never learnt from; a row without id is not in it."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def identify_languages(documents: DataFrame, per_language: int = 800) -> DataFrame:
