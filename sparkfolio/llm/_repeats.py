@@ -5,7 +5,11 @@ sample inside it that depends on the window's content alone (so equal windows ha
 
 1. Consecutive windows with one sample make a segment; (sample, segment content) is sent to the sample's hash bucket.
    A segment that a smaller document has whole is settled there. A sample with only one content needs nothing more.
-2. Only where one sample has several contents are single windows compared: each content's first document sends them.
+2. Only where one sample has several contents are single windows compared, and each content's first document sends them.
+   A reader that has bytes (op10) sends the segment's bytes to its sample's bucket, where suffixes are sorted and compared
+   (`sort` of the reader). A sample with very many contents (HOT: over CLASSES in a batch or MANY in its bucket) would make
+   that bucket large, so its windows go one by one, dealt by their own names; so do all where more than HOT_MOST samples
+   are like that, which are then too many to tell every task.
 3. The settled segments and windows are gathered by document, joined to the texts and removed.
 
 Every batch is reduced before the shuffle: equal contents go as one row, a sample sends at most CLASSES contents (the
@@ -31,11 +35,17 @@ from ._common import U64, binary_array, buckets_for, materialise, mix, release,
 CLASSES = 16
 #: Segments or windows held before a batch is reduced and sent.
 HELD = 300_000
+#: Bytes of segments held before they are sent.
+PARCEL = 8 << 20
 #: Longest text, in bytes, that is handled at once; longer ones in chunks of CHUNK bytes.
 LONG, CHUNK = 2_000_000, 600_000
 #: Windows of one segment at most.
 RUN = 32
-SETTLED, OPEN, WINDOW, ENTRY = 0, 1, 2, 9
+SETTLED, OPEN, WINDOW, MASK, HOT, ENTRY, RAW = 0, 1, 2, 3, 4, 9, 10
+#: Contents of one sample that are compared in one task.
+MANY = 4000
+#: Samples with very many contents that are broadcast at most (8 bytes each).
+HOT_MOST = 1_000_000
 REPLY = "doc_id long, kind int, payload binary"
 ROUTED = "bucket int, doc_id long, kind int, payload binary"
 
@@ -49,6 +59,7 @@ class Units:
     count: np.ndarray
     names: np.ndarray
     samples: np.ndarray
+    data: np.ndarray | None = None  # the bytes, where units are bytes
 
 
 def sliding_min(values: np.ndarray, length: int) -> np.ndarray:
@@ -133,9 +144,7 @@ def _entries(sample: np.ndarray, content: np.ndarray, doc: np.ndarray, buckets:
     """Rows (bucket, packed entries)."""
     if not len(sample):
         return
-    name = mix(sample, 5)
-    bucket = ((name >> U64(32)) % U64(buckets)).astype(np.int32)
-    key = name.astype(np.uint32)
+    bucket, key = _places(sample, buckets)
     order = np.argsort(bucket, kind="stable")
     bucket, key, content, doc = bucket[order], key[order], content[order], doc[order]
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -145,6 +154,19 @@ def _entries(sample: np.ndarray, content: np.ndarray, doc: np.ndarray, buckets:
     yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.zeros(n, dtype=np.int64)), pa.array(np.full(n, ENTRY, dtype=np.int32)), pa.array(blobs, type=pa.binary())], ["bucket", "doc_id", "kind", "payload"])
 
 
+def _places(sample: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each sample, and its name there."""
+    name = mix(sample, 5)
+    return ((name >> U64(32)) % U64(buckets)).astype(np.int32), name.astype(np.uint32)
+
+
+def _hot(sample: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    if len(sample):
+        bucket, key = _places(sample, buckets)
+        names = (bucket.astype(U64) << U64(32)) | key
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[:1]), pa.array([0], pa.int64()), pa.array([HOT], pa.int32()), pa.array([names.tobytes()], pa.binary())], ["bucket", "doc_id", "kind", "payload"])
+
+
 def _reduced(sample: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted by sample, content and document; which rows are the first of their (sample, content), and which rows a
     smaller document settles."""
@@ -169,6 +191,7 @@ def _flush(held: list[tuple[np.ndarray, ...]], buckets: int, done: int) -> Itera
     if done == SETTLED:
         beyond = _runs(sample) >= CLASSES
         yield from _replies(doc[beyond], content[beyond], OPEN, buckets)
+        yield from _hot(np.unique(sample[beyond]), buckets)
         sample, content, doc = sample[~beyond], content[~beyond], doc[~beyond]
     yield from _entries(sample, content, doc, buckets)
 
@@ -185,6 +208,7 @@ class Reader:
     units: Callable[[list[bytes]], Units]
     cut: Callable[[bytes, int], list[tuple[int, int, int]]]
     window: int
+    sort: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None  # bytes and places of windows to their order's classes
 
     def chunks(self, texts: list[bytes], some: list[int]) -> Iterator[tuple[Units, Segments, np.ndarray, int]]:
         """Units and segments of the texts in `some`; which text each is of; the first unit of what is a chunk."""
@@ -217,12 +241,14 @@ def _send_segments(reader: Reader, buckets: int):
     return run
 
 
-def _settle(done: int):
+def _settle(done: int, reader: Reader):
     """One bucket: what is settled, and (for segments) what is still open."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_numpy()
-        out = [table.filter(pa.array(kinds != ENTRY)).select(["doc_id", "kind", "payload"])]
+        out = [table.filter(pa.array((kinds != ENTRY) & (kinds != RAW))).select(["doc_id", "kind", "payload"])]
+        raw = table.filter(pa.array(kinds == RAW)).column("payload").to_pylist()
+        out += [pa.Table.from_batches([x]) for x in (_compared(raw, reader) if raw else ())]
         blobs = table.filter(pa.array(kinds == ENTRY)).column("payload").to_pylist()
         if blobs:
             sample, content, doc, fresh, settled = _reduced(*(np.concatenate(x) for x in zip(*map(_unpack, blobs))))
@@ -230,8 +256,12 @@ def _settle(done: int):
             if done == SETTLED:
                 key, value, first = sample[fresh], content[fresh], doc[fresh]
                 starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                several = np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key))))
+                each = np.diff(np.append(starts, len(key)))
+                several = np.repeat(each > 1, each)
                 parts += _replies(first[several], value[several], OPEN, None)
+                if (each > MANY).any():
+                    hot = (U64(table.column("bucket")[0].as_py()) << U64(32)) | key[starts[each > MANY]].astype(U64)
+                    parts.append(pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([HOT], pa.int32()), pa.array([hot.tobytes()], pa.binary())], ["doc_id", "kind", "payload"]))
             out += [pa.Table.from_batches([x]) for x in parts]
         return pa.concat_tables([x.cast(out[0].schema) for x in out])
 
@@ -253,10 +283,64 @@ def window_ids(names: np.ndarray, samples: np.ndarray) -> np.ndarray:
     return mix(mix(names, 3) + samples, 1)
 
 
-def _send_windows(reader: Reader, buckets: int):
+def _raw(u: Units, s: Segments, at: np.ndarray, doc: int, window: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Bucket and packed bytes of the segments `at` of one document, each content once."""
+    at = at[np.unique(s.content[at], return_index=True)[1]]
+    bucket, _ = _places(s.sample[at], buckets)
+    order = np.argsort(bucket, kind="stable")
+    at, bucket = at[order], bucket[order]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    for a, b in zip(edges, np.append(edges[1:], len(at))):
+        some = at[a:b]
+        windows = (s.last[some] - s.first[some] + 1).astype(np.uint8)
+        text = b"".join(u.data[f : e + window].tobytes() for f, e in zip(s.first[some].tolist(), s.last[some].tolist()))
+        yield int(bucket[a]), b"".join((np.array([doc, b - a], dtype=np.int64).tobytes(), s.content[some].tobytes(), windows.tobytes(), text))
+
+
+def _parcels(raw: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket: what is sent there, each with its length."""
+    if raw:
+        blobs = [b"".join(x for p in parts for x in (np.array([len(p)], dtype=np.int64).tobytes(), p)) for parts in raw.values()]
+        n = len(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(list(raw), pa.int32()), pa.array([0] * n, pa.int64()), pa.array([RAW] * n, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "kind", "payload"])
+        raw.clear()
+
+
+def _compared(blobs: list[bytes], reader: Reader) -> list[pa.RecordBatch]:
+    """Sorts the windows of all segments of a bucket and tells each document which of its windows a smaller one has."""
+    doc, content, windows, text = [], [], [], []
+    for blob in blobs:
+        at = 0
+        while at < len(blob):
+            size = int(np.frombuffer(blob, dtype=np.int64, count=1, offset=at)[0])
+            owner, n = np.frombuffer(blob, dtype=np.int64, count=2, offset=at + 8)
+            doc.append(np.full(n, owner))
+            content.append(np.frombuffer(blob, dtype=U64, count=n, offset=at + 24))
+            windows.append(np.frombuffer(blob, dtype=np.uint8, count=n, offset=at + 24 + 8 * n))
+            text.append(blob[at + 24 + 9 * n : at + 8 + size])
+            at += 8 + size
+    doc, content, windows = np.concatenate(doc), np.concatenate(content), np.concatenate(windows).astype(np.int64)
+    data = np.frombuffer(b"".join(text), dtype=np.uint8)
+    begin = np.cumsum(windows + reader.window - 1) - (windows + reader.window - 1)
+    entry = np.repeat(np.arange(len(doc)), windows)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
+    order_of = reader.sort(data, begin[entry] + place)
+    order = np.lexsort((doc[entry], order_of))
+    fresh = np.append(True, order_of[order][1:] != order_of[order][:-1])
+    owner = doc[entry][order]
+    gone = order[owner > owner[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]]  # of neighbours with one class the first stays
+    mask = np.zeros(len(doc), dtype=U64)
+    np.bitwise_or.at(mask, entry[gone], U64(1) << place[gone].astype(U64))
+    some = np.flatnonzero(mask)
+    return list(_replies(np.repeat(doc[some], 2), np.stack((content[some], mask[some]), axis=1).ravel(), MASK, None))
+
+
+def _send_windows(reader: Reader, buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        count = 0
+        count = size = 0
+        known = hot.value if hot is not None else None
+        raw: dict[int, list[bytes]] = {}
         for batch, texts, told, some in _told_texts(batches):
             ids = _ids(batch)
             for u, s, owner, _ in reader.chunks(texts, some):
@@ -264,6 +348,13 @@ def _send_windows(reader: Reader, buckets: int):
                 for k, i in enumerate(owner.tolist()):
                     a, b = edges[k], edges[k + 1]
                     at = np.flatnonzero(np.isin(s.content[a:b], _told(told[i], OPEN))) + a
+                    if known is not None and len(at):
+                        bucket, key = _places(s.sample[at], buckets)
+                        cold = ~np.isin((bucket.astype(U64) << U64(32)) | key, known)
+                        for where, part in _raw(u, s, at[cold], int(ids[i]), reader.window, buckets) if cold.any() else ():
+                            raw.setdefault(where, []).append(part)
+                            size += len(part)
+                        at = at[~cold]
                     if len(at):
                         spread = s.last[at] - s.first[at] + 1
                         places = np.arange(spread.sum()) + np.repeat(s.first[at] - (np.cumsum(spread) - spread), spread)
@@ -274,8 +365,12 @@ def _send_windows(reader: Reader, buckets: int):
                 if count >= HELD:
                     yield from _flush(held, buckets, WINDOW)
                     count = 0
+                if size >= PARCEL:
+                    yield from _parcels(raw)
+                    size = 0
         if held:
             yield from _flush(held, buckets, WINDOW)
+        yield from _parcels(raw)
 
     return run
 
@@ -295,6 +390,18 @@ def cover(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterator[tuple[p
                     at = np.flatnonzero(np.isin(s.content[a:b], _told(told[i], SETTLED))) + a
                     np.add.at(change, s.first[at] - begin, 1)
                     np.add.at(change, s.last[at] - begin + window, -1)
+                    masked = _told(told[i], MASK).reshape(-1, 2)
+                    if len(masked):
+                        names, which = np.unique(masked[:, 0], return_inverse=True)
+                        bits = np.zeros(len(names), dtype=U64)
+                        np.bitwise_or.at(bits, which, masked[:, 1])
+                        row = np.minimum(np.searchsorted(names, s.content[a:b]), len(names) - 1)
+                        at = np.flatnonzero(names[row] == s.content[a:b])
+                        step = np.arange(RUN)
+                        set_ = ((bits[row[at]][:, None] >> step.astype(U64)) & U64(1)).astype(bool)
+                        places = (s.first[a + at][:, None] - begin + step)[set_]
+                        np.add.at(change, places, 1)
+                        np.add.at(change, places + window, -1)
                     single = _told(told[i], WINDOW)
                     if len(single):
                         whole = slice(begin, begin + n - window + 1)
@@ -312,19 +419,37 @@ def cover(batches: Iterator[pa.RecordBatch], reader: Reader) -> Iterator[tuple[p
         yield batch, texts, masks
 
 
+def _hot_samples(first: DataFrame):
+    """The samples with very many contents, for all tasks; None where they are too many."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.frombuffer(b"".join(batch.column("payload").to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(names))], ["name"])
+
+    found = first.where(F.col("kind") == HOT).select("payload").mapInArrow(run, "name long").distinct()
+    if found.count() > HOT_MOST:
+        return None
+    names = found.toArrow().column("name").to_numpy().astype(np.int64)
+    return first.sparkSession.sparkContext.broadcast(np.sort(names.view(U64)))
+
+
 def remove_repeats(docs: DataFrame, reader: Reader, finish: Callable, schema: str, name: str) -> DataFrame:
-    """docs: doc_id long, text string. finish: an Arrow map over (doc_id, text, told) that uses cover()."""
+    """docs: doc_id long, text string. finish: an Arrow map over (doc_id, text, told) that uses cover(). Rows without id or
+    text go straight to it."""
     spark = docs.sparkSession
     buckets = buckets_for(docs)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    first = materialise(small_batches(known).mapInArrow(tidy(_send_segments(reader, buckets)), ROUTED).groupBy("bucket").applyInArrow(tidy_group(_settle(SETTLED)), REPLY), f"{name}-segments")
+    first = materialise(small_batches(known).mapInArrow(tidy(_send_segments(reader, buckets)), ROUTED).groupBy("bucket").applyInArrow(tidy_group(_settle(SETTLED, reader)), REPLY), f"{name}-segments")
     release(spark)
 
     def gathered(replies: DataFrame) -> DataFrame:
         return replies.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "payload")).alias("told"))
 
+    hot = _hot_samples(first) if reader.sort else None
     opened = known.join(gathered(first.where(F.col("kind") == OPEN)), "doc_id")
-    second = materialise(opened.mapInArrow(tidy(_send_windows(reader, buckets)), ROUTED).groupBy("bucket").applyInArrow(tidy_group(_settle(WINDOW)), REPLY), f"{name}-windows")
+    second = materialise(opened.mapInArrow(tidy(_send_windows(reader, buckets, hot)), ROUTED).groupBy("bucket").applyInArrow(tidy_group(_settle(WINDOW, reader)), REPLY), f"{name}-windows")
     release(spark)
     told = gathered(first.where(F.col("kind") == SETTLED).unionByName(second))
-    return docs.join(told, "doc_id", "left").mapInArrow(tidy(finish), schema)
+    whole = known.join(told, "doc_id", "left").mapInArrow(tidy(finish), schema)
+    rest = docs.where("doc_id IS NULL OR text IS NULL").withColumn("told", F.lit(None).cast("array<struct<kind:int,payload:binary>>"))
+    return whole.unionByName(rest.mapInArrow(tidy(finish), schema))

@@ -29,11 +29,11 @@ def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_words(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return remove_repeated_words(_table(spark, sf_dir, "documents"), keep=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_suffix_bpr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeated_bytes(_table(spark, sf_dir, "documents"), keep=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

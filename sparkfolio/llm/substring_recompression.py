@@ -139,7 +139,7 @@ def _kept(text: bytes, mask: np.ndarray | None) -> tuple[int, int, bytes]:
     return len(starts), int(len(starts) - stay.sum()), out[:-1]
 
 
-def _finish(reader: Reader):
+def _finish(reader: Reader, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, masks in cover(batches, reader):
             n_words, removed, digest, kept = [], [], [], []
@@ -148,14 +148,14 @@ def _finish(reader: Reader):
                 n_words.append(n)
                 removed.append(gone)
                 digest.append(hashlib.sha256(out).hexdigest())
-                kept.append(out)
+                kept.append(out if keep else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
-def remove_repeated_words(documents: DataFrame, window: int = 50) -> DataFrame:
-    """documents: doc_id, text. Per row: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def remove_repeated_words(documents: DataFrame, window: int = 50, keep: bool = True) -> DataFrame:
+    """documents: doc_id, text. Per row: doc_id, n_words, n_removed, kept_sha256, kept_text (null unless `keep`)."""
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
     reader = word_reader(window)
-    return remove_repeats(docs, reader, _finish(reader), SCHEMA, "recompression")
+    return remove_repeats(docs, reader, _finish(reader, keep), SCHEMA, "recompression")

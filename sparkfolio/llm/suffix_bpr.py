@@ -1,14 +1,18 @@
 """Suffix dedup over bytes by bucket-pointer refinement.
 
-Suffixes are first put into q-gram buckets. A bucket identifier of twice the length is named from the identifier at an
-offset and the identifier at the later offset where the first one ends; the identifiers of one level are reused for the
-next (1, 2, 4, 8, 16, 32 bytes, then the window). Names are 64-bit hashes, hence global: tasks refine their own suffixes
-and only identifiers are exchanged. The suffixes that Spark sorts are those with the least q-gram bucket of a window;
-their bucket is refined by the identifiers at the later offsets of the windows that they stand for (see _repeats).
+The suffixes that are compared are sampled: of each window the one at its least q-gram (GRAM bytes, by a hash), so equal
+windows have equal samples, and Spark deals them to the bucket of that q-gram. Of a sample's segments (its windows, see
+_repeats), equal ones are settled by their names. Where a bucket holds different ones, the first document of each sends its
+bytes there, and their suffixes are sorted (`suffix_classes`): first into buckets of Q bytes, then each bucket that holds
+several is sorted by the bucket pointers at the later offset where its depth ends, and its parts get pointers of twice the
+depth; the pointers so updated are what the next refinement reads, until the window is reached. Buckets of one suffix are
+never touched again. Windows that are equal byte for byte are neighbours in this order, the least document first.
+
+Names (of grams, for sampling and dealing, and of whole segments) are 64-bit hashes by the same doubling of offsets.
 
 Defined results: null is empty; a text under `window` bytes keeps all; rows with one doc_id do not remove each other; a
-row without doc_id is returned whole and compared with nothing; other columns are ignored. Removal may cut a character
-in two, so what is kept is binary.
+row without doc_id is returned whole and compared with nothing; texts of any length are handled whole, in overlapping
+chunks; other columns are ignored. Removal may cut a character in two, so what is kept is binary.
 """
 
 from __future__ import annotations
@@ -48,19 +52,56 @@ def byte_units(window: int):
             names[: n - window + 1] = mix(join_names(pointer[: n - window + 1], pointer[window - size :][: n - window + 1], 5), 2)
             least = sliding_min(initial, window - gram + 1)
             samples[: len(least)] = least
-        return Units(offsets[:-1], count, names, samples)
+        return Units(offsets[:-1], count, names, samples, data)
 
     return units
 
 
+#: Bytes of the first buckets.
+Q = 8
+
+
+def suffix_classes(data: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """Bucket pointer of each suffix in `places` at depth `window`: where its bucket begins in the order of all suffixes.
+    Suffixes with one pointer are equal to that depth, and pointers sort like the suffixes."""
+    n, q = len(data), min(Q, window)
+    padded = np.concatenate((data, np.zeros(2 * window + Q, dtype=np.uint8)))
+    gram = np.zeros(n, dtype=U64)
+    for k in range(q):
+        gram = (gram << U64(8)) | padded[k : k + n]
+    order = np.argsort(gram, kind="stable")
+    fresh = np.append(True, gram[order][1:] != gram[order][:-1])
+    starts = np.flatnonzero(fresh)
+    pointer = np.zeros(n + window + 1, dtype=np.int64)  # past the end nothing is compared
+    pointer[order] = starts[np.cumsum(fresh) - 1]
+    sizes = np.diff(np.append(starts, n))
+    open_ = order[np.repeat(sizes > 1, sizes)]  # suffixes in buckets of several, in order
+    depth = q
+    while depth < window and len(open_):
+        step = min(depth, window - depth)
+        own, later = pointer[open_], pointer[open_ + step]
+        turn = np.lexsort((later, own))
+        open_, own, later = open_[turn], own[turn], later[turn]
+        bucket = np.append(True, own[1:] != own[:-1])
+        part = bucket | np.append(True, later[1:] != later[:-1])
+        at, begins = np.arange(len(open_)), np.flatnonzero(part)
+        first = np.flatnonzero(bucket)[np.cumsum(bucket) - 1]
+        which = np.cumsum(part) - 1
+        pointer[open_] = own + (begins[which] - first)  # a part begins as far into its bucket as it was sorted to
+        sizes = np.diff(np.append(begins, len(at)))
+        open_ = open_[(sizes > 1)[which]]
+        depth += step
+    return pointer[places]
+
+
 def byte_reader(window: int) -> Reader:
     def cut(text: bytes, size: int) -> list[tuple[int, int, int]]:
         return [(a, min(len(text), a + size + window - 1), a) for a in range(0, len(text), size)]
 
-    return Reader(byte_units(window), cut, window)
+    return Reader(byte_units(window), cut, window, lambda data, places: suffix_classes(data, places, window))
 
 
-def _finish(reader: Reader):
+def _finish(reader: Reader, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, masks in cover(batches, reader):
             n_bytes, removed, spans, digest, kept = [], [], [], [], []
@@ -72,14 +113,14 @@ def _finish(reader: Reader):
                 removed.append(len(text) - len(left))
                 spans.append(0 if mask is None else int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])))
                 digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
+                kept.append(left if keep else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def remove_repeated_bytes(documents: DataFrame, window: int = 50) -> DataFrame:
-    """documents: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept."""
+def remove_repeated_bytes(documents: DataFrame, window: int = 50, keep: bool = True) -> DataFrame:
+    """documents: doc_id, text. Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null unless `keep`)."""
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text"))
     reader = byte_reader(window)
-    return remove_repeats(docs, reader, _finish(reader), SCHEMA, "bpr")
+    return remove_repeats(docs, reader, _finish(reader, keep), SCHEMA, "bpr")

@@ -87,3 +87,44 @@ def test_no_id(spark):
     text = " ".join(map(str, range(80)))
     df = spark.createDataFrame([(None, text), (3, text), (5, text)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in remove_repeated_words(df).collect()) == [(0, 0), (3, 0), (5, 80)]
+
+
+def test_suffix_classes():
+    """The order of bucket pointers is that of the suffixes cut to the window, and equal ones share a pointer."""
+    import numpy as np
+
+    from sparkfolio.llm.suffix_bpr import suffix_classes
+
+    r = random.Random(3)
+    for _ in range(60):
+        n, window = r.randint(60, 300), r.randint(1, 59)
+        text = bytes(r.choice(b"ab") for _ in range(n // 2))
+        text += text[: n // 3] if r.random() < 0.5 else b"a" * (n // 2)
+        places = np.arange(len(text) - window + 1) if len(text) >= window else np.zeros(0, np.int64)
+        pointers = suffix_classes(np.frombuffer(text, np.uint8), places, window).tolist()
+        cut = [text[p : p + window] for p in places]
+        order = sorted(range(len(cut)), key=cut.__getitem__)
+        for a, b in zip(order, order[1:]):
+            assert pointers[a] <= pointers[b] and (pointers[a] == pointers[b]) == (cut[a] == cut[b])
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_a_very_common_phrase(spark, monkeypatch, many):
+    """A phrase shorter than a window in very many surroundings, some of them repeated: dealt by windows, or (where too
+    many samples are like that to tell) all samples are."""
+    from sparkfolio.llm import _repeats
+
+    if not many:
+        monkeypatch.setattr(_repeats, "HOT_MOST", -1)
+    r = random.Random(8)
+    around = ["".join(r.choice("abcdefgh ") for _ in range(45)) for _ in range(60)]
+    docs = [(d, "".join(r.choice(around) + "a very common phrase of text " + r.choice(around) for _ in range(r.randint(1, 3)))) for d in range(250)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs, 50, octets, bytes)
+    rows = remove_repeated_bytes(df).collect()
+    got = {}
+    for x in rows:
+        got.setdefault(x.doc_id, []).append((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256))
+    assert {d: sorted(v) for d, v in got.items()} == want
+    assert all(hashlib.sha256(bytes(x.kept)).hexdigest() == x.kept_sha256 for x in rows)
+    assert all(x.kept is None for x in remove_repeated_bytes(df, keep=False).collect())
