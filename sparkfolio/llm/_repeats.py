@@ -36,7 +36,9 @@ CLASSES = 16
 #: Segments or windows held before a batch is reduced and sent.
 HELD = 300_000
 #: Bytes of segments held before they are sent.
-PARCEL = 8 << 20
+PARCEL = 2 << 20
+#: Bytes of segments whose suffixes are sorted at once, but for a sample that has more.
+SORTED = 400_000
 #: Longest text, in bytes, that is handled at once; longer ones in chunks of CHUNK bytes.
 LONG, CHUNK = 2_000_000, 600_000
 #: Windows of one segment at most.
@@ -283,56 +285,76 @@ def window_ids(names: np.ndarray, samples: np.ndarray) -> np.ndarray:
     return mix(mix(names, 3) + samples, 1)
 
 
-def _raw(u: Units, s: Segments, at: np.ndarray, doc: int, window: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Bucket and packed bytes of the segments `at` of one document, each content once."""
+def _ranges(begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of consecutive ranges, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - lengths), lengths)
+
+
+def _raw(u: Units, s: Segments, at: np.ndarray, doc: int, window: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """The segments `at` of one document, each content once: bucket, key, content, windows, document, and their bytes."""
     at = at[np.unique(s.content[at], return_index=True)[1]]
-    bucket, _ = _places(s.sample[at], buckets)
+    windows = s.last[at] - s.first[at] + 1
+    return *_places(s.sample[at], buckets), s.content[at], windows.astype(np.uint8), np.full(len(at), doc), u.data[_ranges(s.first[at], windows + window - 1)]
+
+
+def _parcels(held: list[tuple[np.ndarray, ...]], window: int) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket with the segments that go there."""
+    if not held:
+        return
+    bucket, key, content, windows, doc, data = (np.concatenate(x) for x in zip(*held))
+    held.clear()
     order = np.argsort(bucket, kind="stable")
-    at, bucket = at[order], bucket[order]
-    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    for a, b in zip(edges, np.append(edges[1:], len(at))):
-        some = at[a:b]
-        windows = (s.last[some] - s.first[some] + 1).astype(np.uint8)
-        text = b"".join(u.data[f : e + window].tobytes() for f, e in zip(s.first[some].tolist(), s.last[some].tolist()))
-        yield int(bucket[a]), b"".join((np.array([doc, b - a], dtype=np.int64).tobytes(), s.content[some].tobytes(), windows.tobytes(), text))
-
-
-def _parcels(raw: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket: what is sent there, each with its length."""
-    if raw:
-        blobs = [b"".join(x for p in parts for x in (np.array([len(p)], dtype=np.int64).tobytes(), p)) for parts in raw.values()]
-        n = len(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(list(raw), pa.int32()), pa.array([0] * n, pa.int64()), pa.array([RAW] * n, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "kind", "payload"])
-        raw.clear()
-
-
-def _compared(blobs: list[bytes], reader: Reader) -> list[pa.RecordBatch]:
-    """Sorts the windows of all segments of a bucket and tells each document which of its windows a smaller one has."""
-    doc, content, windows, text = [], [], [], []
+    lengths = windows.astype(np.int64) + window - 1
+    data = data[_ranges((np.cumsum(lengths) - lengths)[order], lengths[order])]
+    bucket, key, content, windows, doc = (x[order] for x in (bucket, key, content, windows, doc))
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    places = np.append(0, np.cumsum(lengths[order]))[edges]
+    blobs = [b"".join((np.array([b - a], dtype=np.int64).tobytes(), doc[a:b].tobytes(), content[a:b].tobytes(), key[a:b].tobytes(), windows[a:b].tobytes(), data[p:q].tobytes())) for a, b, p, q in zip(edges, edges[1:], places, places[1:])]
+    n = len(blobs)
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array([0] * n, pa.int64()), pa.array([RAW] * n, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "kind", "payload"])
+
+
+def _compared(blobs: list[bytes], reader: Reader) -> Iterator[pa.RecordBatch]:
+    """Sorts the suffixes of a bucket, the segments of some samples at a time, and tells each document which of its windows
+    a smaller one has."""
+    parts: list[tuple[np.ndarray, ...]] = []
     for blob in blobs:
-        at = 0
-        while at < len(blob):
-            size = int(np.frombuffer(blob, dtype=np.int64, count=1, offset=at)[0])
-            owner, n = np.frombuffer(blob, dtype=np.int64, count=2, offset=at + 8)
-            doc.append(np.full(n, owner))
-            content.append(np.frombuffer(blob, dtype=U64, count=n, offset=at + 24))
-            windows.append(np.frombuffer(blob, dtype=np.uint8, count=n, offset=at + 24 + 8 * n))
-            text.append(blob[at + 24 + 9 * n : at + 8 + size])
-            at += 8 + size
-    doc, content, windows = np.concatenate(doc), np.concatenate(content), np.concatenate(windows).astype(np.int64)
-    data = np.frombuffer(b"".join(text), dtype=np.uint8)
-    begin = np.cumsum(windows + reader.window - 1) - (windows + reader.window - 1)
+        n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
+        kinds = ((np.int64, 8), (U64, 8), (np.uint32, 4), (np.uint8, 1))
+        at = 8
+        row = []
+        for kind, size in kinds:
+            row.append(np.frombuffer(blob, dtype=kind, count=n, offset=at))
+            at += size * n
+        parts.append((*row, np.frombuffer(blob, dtype=np.uint8, offset=at)))
+    doc, content, key, windows, data = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    lengths = windows.astype(np.int64) + reader.window - 1
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(key, kind="stable")
+    fresh = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    cut = np.cumsum(lengths[order])[fresh] // SORTED  # samples are never cut
+    edges = np.append(fresh[np.flatnonzero(np.append(True, cut[1:] != cut[:-1]))], len(order))
+    for a, b in zip(edges, edges[1:]):
+        some = order[a:b]
+        if b - a > 1:
+            yield from _sorted(doc[some], content[some], windows[some].astype(np.int64), data[_ranges(begin[some], lengths[some])], reader)
+
+
+def _sorted(doc: np.ndarray, content: np.ndarray, windows: np.ndarray, data: np.ndarray, reader: Reader) -> Iterator[pa.RecordBatch]:
+    lengths = windows + reader.window - 1
     entry = np.repeat(np.arange(len(doc)), windows)
-    place = np.arange(len(entry)) - np.repeat(np.cumsum(windows) - windows, windows)
-    order_of = reader.sort(data, begin[entry] + place)
-    order = np.lexsort((doc[entry], order_of))
-    fresh = np.append(True, order_of[order][1:] != order_of[order][:-1])
-    owner = doc[entry][order]
-    gone = order[owner > owner[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]]  # of neighbours with one class the first stays
+    place = _ranges(np.zeros(len(doc), dtype=np.int64), windows)
+    pointer = reader.sort(data, (np.cumsum(lengths) - lengths)[entry] + place)
+    owner = doc[entry]
+    order = np.lexsort((owner, pointer))
+    fresh = np.append(True, pointer[order][1:] != pointer[order][:-1])
+    gone = order[owner[order] > owner[order][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]]  # of neighbours with one pointer the first stays
     mask = np.zeros(len(doc), dtype=U64)
-    np.bitwise_or.at(mask, entry[gone], U64(1) << place[gone].astype(U64))
+    np.add.at(mask, entry[gone], U64(1) << place[gone].astype(U64))  # each window is there once
     some = np.flatnonzero(mask)
-    return list(_replies(np.repeat(doc[some], 2), np.stack((content[some], mask[some]), axis=1).ravel(), MASK, None))
+    yield from _replies(np.repeat(doc[some], 2), np.stack((content[some], mask[some]), axis=1).ravel(), MASK, None)
 
 
 def _send_windows(reader: Reader, buckets: int, hot):
@@ -340,7 +362,7 @@ def _send_windows(reader: Reader, buckets: int, hot):
         held: list[tuple[np.ndarray, ...]] = []
         count = size = 0
         known = hot.value if hot is not None else None
-        raw: dict[int, list[bytes]] = {}
+        raw: list[tuple[np.ndarray, ...]] = []
         for batch, texts, told, some in _told_texts(batches):
             ids = _ids(batch)
             for u, s, owner, _ in reader.chunks(texts, some):
@@ -351,9 +373,9 @@ def _send_windows(reader: Reader, buckets: int, hot):
                     if known is not None and len(at):
                         bucket, key = _places(s.sample[at], buckets)
                         cold = ~np.isin((bucket.astype(U64) << U64(32)) | key, known)
-                        for where, part in _raw(u, s, at[cold], int(ids[i]), reader.window, buckets) if cold.any() else ():
-                            raw.setdefault(where, []).append(part)
-                            size += len(part)
+                        if cold.any():
+                            raw.append(_raw(u, s, at[cold], int(ids[i]), reader.window, buckets))
+                            size += len(raw[-1][-1])
                         at = at[~cold]
                     if len(at):
                         spread = s.last[at] - s.first[at] + 1
@@ -366,11 +388,11 @@ def _send_windows(reader: Reader, buckets: int, hot):
                     yield from _flush(held, buckets, WINDOW)
                     count = 0
                 if size >= PARCEL:
-                    yield from _parcels(raw)
+                    yield from _parcels(raw, reader.window)
                     size = 0
         if held:
             yield from _flush(held, buckets, WINDOW)
-        yield from _parcels(raw)
+        yield from _parcels(raw, reader.window)
 
     return run
 
