@@ -226,11 +226,11 @@ def msg_parse(spark, sf_dir):
     return d.select("c_custkey", _meta()["title"].alias("title"), _meta()["author"].alias("author"), X.document_text(_d()).alias("text"), _custom("attachment_count", "i").alias("attachments"), F.array_join(F.transform(_d()["attachments"], lambda a: a["filename"]), ",").alias("names"))
 
 
-@query("""SELECT doc_id, 2::BIGINT AS messages, 'mbox_' || doc_id || '.mbox' AS title, 'From: a@b.c' || chr(10) || 'Subject: s' || doc_id || chr(10) || chr(10) || replace(text, chr(10) || 'From ', chr(10) || 'from ') || chr(10) || chr(10) || 'To: z@b.c' || chr(10) || chr(10) || 'second' AS text FROM documents""")
+@query("""SELECT doc_id, 2::BIGINT AS messages, 'mbox_' || doc_id || '.mbox' AS title, 'From: a@b.c' || chr(10) || 'Subject: s' || doc_id || chr(10) || replace(chr(10) || text, chr(10) || 'From ', chr(10) || 'from ') || chr(10) || chr(10) || 'To: z@b.c' || chr(10) || chr(10) || 'second' AS text FROM documents""")
 def mbox_parse(spark, sf_dir):
     """Every document as the first of two messages of a mailbox."""
     d = F.col("doc_id").cast("string")
-    raw = F.concat(F.lit("From x\nFrom: a@b.c\nSubject: s"), d, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.replace("text", F.lit("\nFrom "), F.lit("\nfrom ")), F.lit("\nFrom y\nTo: z@b.c\n\nsecond"))
+    raw = F.concat(F.lit("From x\nFrom: a@b.c\nSubject: s"), d, F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n"), F.replace(F.concat(F.lit("\n"), "text"), F.lit("\nFrom "), F.lit("\nfrom ")), F.lit("\nFrom y\nTo: z@b.c\n\nsecond"))
     parsed = parse_files(_files(_table(spark, sf_dir, "documents"), "doc_id", F.encode(raw, "UTF-8"), "mbox"))
     return parsed.select("doc_id", _custom("message_count", "i").alias("messages"), _meta()["title"].alias("title"), X.document_text(_d()).alias("text"))
 
