@@ -12,7 +12,7 @@
    segment begins chains whose differences, added up segment by segment, stay within l / WORDS of the budget for every
    length l. Pairs without such chains of up to CHAIN segments go before the full Hamming check.
 4. What the links connect is verified on the texts: within each connected group, texts are linked only if their shingle
-   sets have similarity s or more, and the groups of these links are the result.
+   sets (names of 4 bytes) have similarity s or more, and the groups of these links are the result.
 
 Equal fingerprints are collapsed first, and groups are searched breadth-first (see simhash_pigeonring). A chain that more
 than GROUP fingerprints share, and a connected group with more than SETS bytes of shingles, are dealt out as pairs of
@@ -45,6 +45,8 @@ RING, WORDS, CHAIN = 512, 8, 4
 NOTHING = bytes(64)
 #: Bytes of shingles of one connected group that a task verifies at once, and about so many to a task in all.
 SETS = 2 << 20
+#: Members of connected groups that are broadcast at most (about 120 bytes each).
+MEMBERS = 300_000
 #: Fingerprints whose chains are named at once.
 ROWS = 512
 #: Chains that are known to be common everywhere, at most: what is broadcast has 16 bytes for each.
@@ -54,6 +56,9 @@ HOT = 1_000_000
 SLACK = 2.5
 #: Probability that a pair at the very end of the budget shares no chain.
 MISS = 0.03
+#: Bytes of a bucket of chains at most (less, as a fingerprint goes to a bucket once for all its chains there); larger
+#: buckets send a fingerprint to fewer of them.
+BUCKET = 40 << 20
 #: Chains that are sent and searched at once.
 ROUND = 96
 
@@ -91,27 +96,31 @@ def _fingerprint(texts: list[bytes], shingle: int) -> tuple[np.ndarray, dict[int
 
 
 def long_fingerprints(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fingerprint (64 bytes); all zero without words."""
+    """doc_id, fingerprint (64 bytes; all zero without words), shingles (how many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            prints = _fingerprint(texts, shingle)[0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in prints], pa.binary())], ["doc_id", "fingerprint"])
+            prints, sets = _fingerprint(texts, shingle)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in prints], pa.binary()), pa.array([len(sets.get(i, ())) for i in range(len(texts))], pa.int64())], ["doc_id", "fingerprint", "shingles"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(docs).mapInArrow(tidy(run), "doc_id long, fingerprint binary")
+    return small_batches(docs).mapInArrow(tidy(run), "doc_id long, fingerprint binary, shingles long")
 
 
-def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fingerprint, shingles (8 bytes each) of the texts with words."""
+def shingle_sets(documents: DataFrame, shingle: int, others: str) -> DataFrame:
+    """documents: fingerprint, text and others (their schema). The others and the shingles (names of 4 bytes) of the texts
+    that have the fingerprint."""
+    names = [x.split()[0] for x in others.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             prints, sets = _fingerprint(texts, shingle)
-            at = pa.array(list(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array([prints[i].tobytes() for i in sets], pa.binary()), pa.array([x.tobytes() for x in sets.values()], pa.binary())], ["doc_id", "fingerprint", "shingles"])
+            wanted = batch.column("fingerprint").to_pylist()
+            good = [i for i in sets if prints[i].tobytes() == wanted[i]]
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array([sets[i].astype(np.uint32).tobytes() for i in good], pa.binary())], [*names, "shingles"])
 
-    return small_batches(documents.select("doc_id", "text")).mapInArrow(tidy(run), "doc_id long, fingerprint binary, shingles binary")
+    return small_batches(documents.select(*names, "fingerprint", "text")).mapInArrow(tidy(run), f"{others}, shingles binary")
 
 
 def _keys(prints: np.ndarray, bits: int, starts: int, first: int = 0) -> np.ndarray:
@@ -232,7 +241,7 @@ def _links(distinct: DataFrame, count: int, bits: int, first: int, last: int, pa
     spark = distinct.sparkSession
     starts = last - first
     most_at_once = GROUP
-    buckets = int(max(32, -(-count * starts * 84 // parts // (16 << 20))))
+    buckets = int(max(32, -(-count * starts * 84 // parts // BUCKET)))
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = batch.column("node").to_numpy(zero_copy_only=False)
@@ -342,7 +351,7 @@ def _verify(similarity: float):
         a, b = [], []
         for first, last in zip(edge, np.append(edge[1:], len(order))):
             rows = order[first:last]
-            for x, y in similar([np.frombuffer(blobs[int(i)].as_buffer(), dtype=U64) for i in rows], similarity) if len(rows) > 1 else ():
+            for x, y in similar([np.frombuffer(blobs[int(i)].as_buffer(), dtype=np.uint32) for i in rows], similarity) if len(rows) > 1 else ():
                 a.append(int(node[rows[x]]))
                 b.append(int(node[rows[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -352,22 +361,20 @@ def _verify(similarity: float):
 
 def verified(documents: DataFrame, distinct: DataFrame, loose: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links a, b between nodes whose shingle sets are similar, within the groups loose (node, root). Only the texts that
-    stand for the groups' fingerprints are read."""
-    spark = documents.sparkSession
+    stand for the groups' fingerprints are read; their shingles are shuffled once."""
     grouped = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
-    wanted = materialise(distinct.join(grouped, "node"), "candidates")
-    ids = wanted.select("least").distinct()
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    read = docs.join(few(ids), docs["doc_id"] == F.col("least"), "left_semi")
-    sets = shingle_sets(read, shingle).withColumnRenamed("doc_id", "least").join(wanted, ["least", "fingerprint"])
-    sets = materialise(sets.groupBy("node").agg(F.first("root").alias("root"), F.first("shingles").alias("shingles")), "shingles")
-    size = sets.groupBy("root").agg(F.sum(F.octet_length("shingles")).alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / SETS).cast("int"))
-    total = size.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    wanted = distinct.join(grouped, "node")
+    size = wanted.groupBy("root").agg(F.sum(F.col("shingles") * 4 + 16).alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / SETS).cast("int"))
+    wanted = materialise(wanted.join(size, "root").select("least", "fingerprint", "node", "root", "bytes", "blocks"), "candidates")
+    total = wanted.select("root", "bytes", "blocks").distinct().agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
+    read = docs.join(few(wanted, MEMBERS), F.col("__id") == F.col("least"))
+    sets = shingle_sets(read, shingle, "node long, root long, blocks int")
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.least(other.cast("long"), block) * 65536 + F.greatest(other.cast("long"), block))
     parts = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)
-    dealt = sets.join(size, "root").select("root", "node", "shingles", F.explode(parts).alias("part"))
     buckets = int(max(48, total // SETS))
+    dealt = sets.select("root", "node", "shingles", F.explode(parts).alias("part"))
     return dealt.withColumn("bucket", F.pmod(F.xxhash64("root", "part"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(tidy_group(_verify(similarity)), "a long, b long")
 
 
@@ -377,7 +384,7 @@ def _grouped(documents: DataFrame, shingle: int, similarity: float) -> DataFrame
     named = documents.where("doc_id IS NOT NULL")
     prints = materialise(long_fingerprints(named, shingle), "long-fingerprints")
     words = F.col("fingerprint") != F.lit(NOTHING)
-    distinct = materialise(prints.where(words).groupBy("fingerprint").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct-long")
+    distinct = materialise(prints.where(words).groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.max("shingles").alias("shingles")).withColumn("node", F.monotonically_increasing_id()), "distinct-long")
     loose = components(links(distinct, similarity))
     release(spark)
     roots = components(verified(named, distinct, loose, shingle, similarity))
