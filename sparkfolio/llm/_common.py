@@ -62,9 +62,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """ids, marked for broadcast where they are counted to be few enough; beyond that both sides of a join are shuffled."""
-    return broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def few(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """ids, marked for broadcast where they are counted to be `most` rows or fewer; beyond that a join shuffles both sides."""
+    return broadcast(ids) if ids.count() <= most else ids
 
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:

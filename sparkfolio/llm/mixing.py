@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, tidy_group
+from ._common import few, materialise, tidy_group
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPLIT = 512
+#: Documents of a mix whose numbers are broadcast at most (40 bytes each); beyond that texts are shuffled by id.
+DRAWN = 400_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -127,7 +129,7 @@ def drawn_documents(documents: DataFrame, **options) -> DataFrame:
     add = [F.col(f"__{c}").alias(name) for c, name in added.items()]
     taken = drawn.where("__taken > 0")
     if several.isEmpty():
-        return documents.join(taken, F.col("doc_id").cast("long") == F.col("__id")).select(*documents.columns, *add)
+        return documents.join(few(taken.drop("__source"), DRAWN), F.col("doc_id").cast("long") == F.col("__id")).select(*documents.columns, *add)
     once = documents.join(taken.join(several, "__id", "left_anti"), F.col("doc_id").cast("long") == F.col("__id")).select(*documents.columns, *add)
     # ids of several rows: of equal id, source and size as many rows as the mix takes, all alike to it
     key = ["__id", "__source", "__size"]
