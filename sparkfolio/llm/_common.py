@@ -201,17 +201,22 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by differences of prefix sums."""
+def fold(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the values of each span, by differences of prefix sums."""
     if not len(starts):
         return np.zeros(0, dtype=U64)
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=total[1:])
+    power, inverse = _power_tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values * power[: len(values)], out=total[1:])
     raw = (total[ends] - total[starts]) * inverse[starts]
     return mix(mix(raw, 1) + (ends - starts).astype(U64), 2)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    return fold(data.astype(U64) + U64(1), starts, ends)
+
+
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Binary values that are consecutive parts of data; offsets in items, one more than values."""
     width = data.dtype.itemsize

@@ -4,9 +4,10 @@ Round 0 names runs of one token; each later round names neighbouring pairs whose
 whose right name on the right side of a fixed split of all names. A name is a 64-bit hash of what it stands for, so it
 is global: every task gives equal strings equal names with no dictionary to exchange, and the names of a repeat differ
 only near its ends. A symbol whose whole context lies inside a window is the same wherever that window occurs, so the
-least such symbol of the highest round (widened to CONTEXT words) is the window's sample: shared samples reveal repeats
-and the names of segments and windows verify them (see _repeats). A window without such a symbol, inside a long run,
-is its own sample.
+least such symbol of the highest round (widened to the words of a context) is the window's sample, and shared samples
+reveal repeats. A window's name is made of all such symbols in it and of the words beside them, so symbols verify repeats
+too, segment by segment and window by window (see _repeats). A window without such a symbol, inside a long run, is its
+own sample.
 
 Defined results: null or empty text has no words; a text under `window` words keeps all; rows with one doc_id do not
 remove each other; a row without doc_id is returned whole and compared with nothing; other columns are ignored.
@@ -21,39 +22,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import U64, join_names, joined, mix, span_hashes, word_bounds
+from ._common import U64, fold, join_names, joined, mix, span_hashes, word_bounds
 from ._repeats import LONG, Reader, Units, cover, remove_repeats, sliding_min
 
-#: Rounds of pair naming, and the most words that a symbol of the last round and its context take: 2^ROUNDS words and,
-#: on each side, one word for the runs and 2^r - 1 words for the pairs of all rounds.
-ROUNDS = 3
-CONTEXT = 3 * 2**ROUNDS
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 _BLANK = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def _doubled(names: np.ndarray, length: int) -> dict[int, np.ndarray]:
-    """Names of the 1, 2, 4... and `length` words from each word; shorter at the end."""
-    out, size = {1: names}, 1
-    while size * 2 <= length:
-        out[size * 2] = join_names(out[size][: max(0, len(out[size]) - size)], out[size][size:], size.bit_length())
-        size *= 2
-    return out
+def rounds_for(window: int) -> int:
+    """Rounds whose widest symbol, with its context, takes half a window at most: a window without long runs then holds one."""
+    return max(0, ((window + 1) // 6).bit_length() - 1)
 
 
-def _of_length(by: dict[int, np.ndarray], length: int) -> np.ndarray:
-    """Names of `length` words from each word, by two overlapping powers of two."""
-    size = max(k for k in by if k <= length)
-    if size == length:
-        return by[size]
-    n = max(0, len(by[1]) - length + 1)
-    return mix(join_names(by[size][:n], by[size][length - size :][:n], 5) + U64(length), 2)
+def context_of(rounds: int) -> int:
+    """The most words that a symbol of the last round and its context take, runs aside: 2^rounds words and, on each side,
+    one word for the runs and 2^r - 1 words for the pairs of all rounds."""
+    return 3 * 2**rounds
 
 
-def symbols(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the last round's symbols and the words (begin, end) that determine each, with its context; a symbol
-    whose context would leave its document begins before 0."""
+def symbols(names: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the last round's symbols, the first word of each, and the words (begin, end) that determine each, with its
+    context; a symbol whose context would leave its document begins before 0."""
     n = len(names)
     far = -(1 << 40)
     new = np.append(True, (names[1:] != names[:-1]) | (doc[1:] != doc[:-1]))
@@ -65,7 +55,7 @@ def symbols(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     edge = np.append(True, owner[1:] != owner[:-1])
     begin[edge] = far
     end[np.append(edge[1:], True)] = -far
-    for r in range(ROUNDS):
+    for r in range(rounds):
         side = (mix(name + U64(r + 1), 4) >> U64(40)) & U64(1)
         pair = (side[:-1] == 0) & (side[1:] == 1) & (owner[1:] == owner[:-1])
         # the neighbours decide too: a symbol is taken by the pair on its left, on its right or by none
@@ -79,12 +69,32 @@ def symbols(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         name[at] = mix(merged[at] + U64(r + 7), 1)
         end[at] = high[at + 1]
         keep = ~tail
-        name, begin, end, owner = name[keep], begin[keep], end[keep], owner[keep]
+        name, first, begin, end, owner = name[keep], first[keep], begin[keep], end[keep], owner[keep]
     begin[end > (1 << 39)] = far
-    return name, begin, end
+    return name, first, begin, end
+
+
+def window_names(names: np.ndarray, name: np.ndarray, first: np.ndarray, begin: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+    """The name of the window at each word: the symbols that lie in it with their contexts, and the words beside them.
+    Those symbols depend on the window alone, so equal windows have equal names; each symbol stands for its words, so
+    equal names have equal words."""
+    at = np.arange(len(names) - window + 1)
+    inner = np.flatnonzero(begin >= 0)
+    low = np.searchsorted(begin[inner], at)
+    high = np.maximum(low, np.searchsorted(end[inner], at + window, side="right"))
+    some = high > low
+    left = np.full(len(at), window) + at
+    right = left.copy()
+    left[some] = first[inner[low[some]]]
+    right[some] = np.append(first[1:], len(names))[inner[high[some] - 1]]
+    out = join_names(fold(names, at, left), fold(name[inner], low, high), 4)
+    return mix(join_names(mix(out, 1), fold(names, right, at + window), 5), 2)
 
 
 def word_units(window: int):
+    rounds = rounds_for(window)
+    context = context_of(rounds)
+
     def units(texts: list[bytes]) -> Units:
         data, offsets = joined(texts)
         starts, ends = word_bounds(data)
@@ -95,15 +105,14 @@ def word_units(window: int):
         windows = np.zeros(n, dtype=U64)
         samples = np.full(n, NONE)
         if n >= window:
-            by = _doubled(names, window)
-            windows[: n - window + 1] = _of_length(by, window)
-            name, low, high = symbols(names, np.repeat(np.arange(len(texts)), count))
-            good = (low >= 0) & (high - low <= CONTEXT) & (low + CONTEXT <= n)
+            name, first, low, high = symbols(names, np.repeat(np.arange(len(texts)), count), rounds)
+            windows[: n - window + 1] = window_names(names, name, first, low, high, window)
             value = np.full(n, NONE)
-            if CONTEXT <= window:
-                wide = _of_length(by, CONTEXT)
-                np.minimum.at(value, low[good], mix(name[good] + wide[low[good]], 2))
-                least = sliding_min(value, window - CONTEXT + 1)
+            if context <= window:
+                good = (low >= 0) & (high - low <= context) & (low + context <= n)
+                wide = fold(names, low[good], low[good] + context)
+                np.minimum.at(value, low[good], mix(name[good] + wide, 2))
+                least = sliding_min(value, window - context + 1)
                 samples[: len(least)] = least
             alone = samples == NONE
             samples[alone] = windows[alone]

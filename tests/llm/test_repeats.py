@@ -128,3 +128,24 @@ def test_a_very_common_phrase(spark, monkeypatch, many):
     assert {d: sorted(v) for d, v in got.items()} == want
     assert all(hashlib.sha256(bytes(x.kept)).hexdigest() == x.kept_sha256 for x in rows)
     assert all(x.kept is None for x in remove_repeated_bytes(df, keep=False).collect())
+
+
+def test_word_windows_and_symbols():
+    """Equal windows, and only they, have one name, and equal windows have one sample: runs, few words and many."""
+    from sparkfolio.llm.substring_recompression import word_units
+
+    r = random.Random(5)
+    for _ in range(60):
+        vocabulary, window = r.choice([2, 3, 30, 1000]), r.choice([1, 2, 3, 5, 8, 13, 50, 50, 100])
+        pool = [[b"w%d" % r.randrange(vocabulary) for _ in range(r.randint(0, 160))] for _ in range(6)] + [[b"x"] * r.randint(0, 200)]
+        texts = [b" ".join(w for _ in range(r.randint(0, 3)) for w in r.choice(pool)[r.randint(0, 5) :]) for _ in range(12)]
+        u = word_units(window)(texts)
+        name, content, sample = {}, {}, {}
+        for k, text in enumerate(texts):
+            words_ = text.split()
+            assert u.count[k] == len(words_)
+            for i in range(len(words_) - window + 1):
+                key, at = tuple(words_[i : i + window]), u.begin[k] + i
+                assert name.setdefault(key, u.names[at]) == u.names[at]
+                assert content.setdefault(u.names[at], key) == key
+                assert sample.setdefault(key, u.samples[at]) == u.samples[at]
