@@ -53,22 +53,24 @@ def convert(files: DataFrame, fallback: bool = True, limit: int = MAX_BYTES, kno
     known = registrations(files.sparkSession) if known is None else known
     if own:
         known = known.unionByName(files.sparkSession.createDataFrame([(10_000 + i, getattr(p, "__name__", m), m) for i, (m, p) in enumerate(own.items())], known.schema))
-    columns = [c for c in files.columns if c != "content"]
-    sized = files.withColumn("__size", F.coalesce(F.col("length"), F.octet_length("content"), F.lit(0))).withColumn("__large", F.col("__size") > limit)
+    columns = [c for c in files.columns if c not in ("content", "refusal")]
+    sized = files if "refusal" in files.columns else files.withColumn("refusal", F.lit(None).cast("string"))
+    sized = sized.withColumn("__size", F.coalesce(F.col("length"), F.octet_length("content"), F.lit(0))).withColumn("__large", F.col("__size") > limit)
     sized = sized.withColumn("content", F.when(~F.col("__large"), F.coalesce("content", F.lit(b""))))
     routed = dispatch(detect(sized), known)
-    rows = parse_files(routed.withColumn("__wanted", F.col("parser").isNotNull() & ~F.col("__large")), own=own, wanted="__wanted", keep_content=False)
+    rows = parse_files(routed.withColumn("__wanted", F.col("parser").isNotNull() & ~F.col("__large") & F.col("refusal").isNull()), own=own, wanted="__wanted", keep_content=False)
     failure = F.col("document.error")
     refused = ~F.col("__wanted") | F.coalesce(failure["kind"] == REFUSED, F.lit(False))
     status = (
-        F.when(F.col("__large"), 400)
+        F.when(F.col("__large") | F.col("refusal").isNotNull(), 400)
         .when(F.col("format").isNull(), 415)
         .when(refused, 200 if fallback else 501)
         .when(failure.isNotNull(), 500)
         .otherwise(200)
     )
     message = (
-        F.when(status == 400, F.concat(F.lit("File size "), F.col("__size").cast("string"), F.lit(f" exceeds maximum of {limit}")))
+        F.when(F.col("refusal").isNotNull(), F.col("refusal"))
+        .when(status == 400, F.concat(F.lit("File size "), F.col("__size").cast("string"), F.lit(f" exceeds maximum of {limit}")))
         .when(status == 415, F.lit("Unable to detect file format"))
         .when(status == 501, F.concat(F.lit("No parser available for format: "), format_info(F.col("format"))["name"]))
         .otherwise(F.concat(F.lit("Failed to parse document: "), failure["message"]))

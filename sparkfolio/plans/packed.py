@@ -29,7 +29,7 @@ from sparkfolio.schemas import DOCUMENT
 from sparkfolio.shipping import ship
 from sparkfolio.sources import compound as compounds
 from sparkfolio.sources import formats as S
-from sparkfolio.sources import office
+from sparkfolio.sources import office, uploads
 from sparkfolio.sources.files import read_files
 from sparkfolio.sources.parse import CONTAINER_GATES, parse_files
 from sparkfolio.sources.pdf import MARKER
@@ -435,6 +435,50 @@ def service_info(spark, sf_dir):
     return C.health(spark).select("status", none.alias("name"), "version").unionAll(C.version(spark).select(none, "name", "version"))
 
 
+_CAN = {k: "TextExtraction,MetadataExtraction" for _, k in S.PARSERS} | {k: "ImageExtraction,MetadataExtraction" for k in ("png", "jpeg", "tiff")} | {k: "TextExtraction,TableExtraction,MetadataExtraction" for k in ("xlsx", "xls")} | {k: "TableExtraction,MetadataExtraction" for k in ("zip", "tar", "gzip")} | {"pdf": "MetadataExtraction"}
+
+
+@query("SELECT * FROM (" + _values([*((p, "parser", S.FORMATS[k][0], _CAN[k]) for p, k in S.PARSERS + S.ARCHIVE_PARSERS), ("HtmlRenderer", "renderer", "text/html", "TextRendering,ImageRendering,TableRendering")]) + ") AS f(name, role, mime_type, features)")
+def capabilities(spark, sf_dir):
+    return S.capabilities(spark).select("name", "role", "mime_type", F.array_join("features", ",").alias("features"))
+
+
+def _requests(docs: DataFrame) -> DataFrame:
+    """Forms that hold documents: the file alone, after other fields, without a file name, twice, missing, cut off, and
+    requests without a boundary; with a byte that is no UTF-8 at the end of each content."""
+    of, b = F.col("doc_id") % 7, F.concat(F.lit("----x.("), F.col("doc_id").cast("string"))
+    line = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x), F.lit("\r\n"))
+    head = lambda x: F.concat(line("--", b), line("Content-Disposition: form-data; ", x), F.when(of == 1, line("Content-Type: text/plain")).otherwise(F.lit("")), line(""))
+    named = lambda n: F.concat(F.lit(f'name="{n}"; filename="é '), F.col("doc_id").cast("string"), F.lit('.txt"'))
+    other = F.concat(head(F.lit('name="files"; filename="file"')), line(F.lit("no")), head(F.lit('name="note"')), line("--", F.col("source"), "\r\n\r\n"))
+    utf8 = lambda x: F.encode(x, "UTF-8")
+    text, byte, end = utf8(F.col("text")), F.lit(b"\xff\r\n"), utf8(line("--", b, "--"))
+    own = lambda x: F.concat(utf8(head(x)), text, byte)
+    body = F.when(of == 0, F.concat(own(named("file")), end)).when(of == 1, F.concat(utf8(other), own(named("file")), end)).when(of == 2, F.concat(own(F.lit('name="file"')), end))
+    body = body.when(of == 3, F.concat(own(named("file")), own(F.lit('name="file"')), end)).when(of == 4, F.concat(utf8(other), end, own(named("file")))).when(of == 5, own(named("file"))).otherwise(own(named("file")))
+    kind = F.when(of == 6, F.lit("multipart/form-data")).when(of == 2, F.concat(F.lit('multipart/form-data; boundary="'), b, F.lit('"'))).otherwise(F.concat(F.lit("multipart/form-data; charset=utf-8; boundary="), b))
+    return docs.where("text IS NOT NULL").select("doc_id", kind.alias("content_type"), body.alias("body"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN k IN (0, 1, 3) THEN 'é ' || doc_id || '.txt' END AS name, CASE WHEN k < 4 THEN octet_length(encode(text)) + 1 ELSE -1 END::BIGINT AS length, CASE WHEN k < 4 THEN sha256(unhex(hex(encode(text)) || 'FF')) END AS hash,
+ CASE k WHEN 4 THEN '{uploads.NO_FILE}' WHEN 5 THEN '{uploads.CUT}' WHEN 6 THEN '{uploads.NO_BOUNDARY}' END AS refusal FROM (SELECT *, doc_id % 7 AS k FROM documents WHERE text IS NOT NULL)""")
+def upload_files(spark, sf_dir):
+    """Documents sent as forms, of several shapes."""
+    files = uploads.uploaded_files(_requests(_table(spark, sf_dir, "documents")))
+    return files.select("doc_id", "name", F.coalesce("length", F.lit(-1).cast("long")).alias("length"), F.sha2("content", 256).alias("hash"), "refusal")
+
+
+_DETECTED = "Format detected as Plain Text but no parser is available. Returning format detection information."
+
+
+@query(f"""SELECT k AS kind, CASE k WHEN 2 THEN 415 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 3 THEN 200 ELSE 400 END::INT AS status, CASE k WHEN 2 THEN 'Unable to detect file format' WHEN 0 THEN '{_DETECTED}' WHEN 1 THEN '{_DETECTED}' WHEN 3 THEN '{_DETECTED}' WHEN 4 THEN '{uploads.NO_FILE}' WHEN 5 THEN '{uploads.CUT}' WHEN 6 THEN '{uploads.NO_BOUNDARY}' END AS message, count(*)::BIGINT AS n FROM (SELECT (doc_id % 7)::BIGINT AS k FROM documents WHERE text IS NOT NULL) GROUP BY ALL""")
+def convert_uploads(spark, sf_dir):
+    """The service's answers to uploads: a form without a file name can't be told by its extension, and the text gate
+    refuses contents that aren't UTF-8."""
+    answers = C.convert(uploads.uploaded_files(_requests(_table(spark, sf_dir, "documents"))))
+    return answers.groupBy((F.col("doc_id") % 7).alias("kind"), "status", F.get_json_object("body", "$.message").alias("message")).agg(F.count("*").alias("n"))
+
+
 # rendering whole documents, and the service
 
 

@@ -74,8 +74,12 @@ PARSERS = (
 )
 #: The library's own registry starts with these instead.
 ARCHIVE_PARSERS = (("ZipParser", "zip"), ("TarParser", "tar"), ("GzipParser", "gzip"))
-#: What parsers and the renderer can do (fixed values).
-PARSER_FEATURES = ("TextExtraction", "ImageExtraction", "TableExtraction", "MetadataExtraction", "StyleExtraction", "PasswordSupport", "StreamingSupport")
+#: What the formats' parsers can do, by feature; text and metadata are what most do (fixed values).
+PARSER_FEATURES = ("TextExtraction", "ImageExtraction", "TableExtraction", "StructureExtraction", "MetadataExtraction", "EncryptionSupport", "StreamingSupport")
+IMAGE_FORMATS, TABLE_FORMATS, TEXTLESS_FORMATS = ("png", "jpeg", "tiff"), ("xlsx", "xls", "zip", "tar", "gzip"), ("pdf", "png", "jpeg", "tiff", "zip", "tar", "gzip")
+#: What the renderer can do, of these (fixed values).
+RENDER_FEATURES = ("TextRendering", "ImageRendering", "TableRendering", "VectorRendering", "PageRangeSupport", "StreamingSupport")
+RENDERED = ("TextRendering", "ImageRendering", "TableRendering")
 FORMAT_COLUMNS = "format string, mime_type string, extension string, family string, name string, is_container boolean"
 
 
@@ -90,3 +94,15 @@ def extensions(spark: SparkSession) -> DataFrame:
 
 def registrations(spark: SparkSession, parsers=PARSERS) -> DataFrame:
     return spark.createDataFrame([(i, p, FORMATS[k][0]) for i, (p, k) in enumerate(parsers)], "ordinal int, parser string, mime_type string")
+
+
+def can(key: str) -> tuple[str, ...]:
+    """The features of a format's parser."""
+    able = {"TextExtraction": key not in TEXTLESS_FORMATS, "ImageExtraction": key in IMAGE_FORMATS, "TableExtraction": key in TABLE_FORMATS, "MetadataExtraction": True}
+    return tuple(f for f in PARSER_FEATURES if able.get(f))
+
+
+def capabilities(spark: SparkSession, parsers=PARSERS + ARCHIVE_PARSERS) -> DataFrame:
+    """One row for each parser, and one for the renderer: name, role, mime_type, features, requires_sandbox."""
+    rows = [(p, "parser", FORMATS[k][0], list(can(k)), False) for p, k in parsers]
+    return spark.createDataFrame([*rows, ("HtmlRenderer", "renderer", FORMATS["html"][0], list(RENDERED), False)], "name string, role string, mime_type string, features array<string>, requires_sandbox boolean")
