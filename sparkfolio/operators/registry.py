@@ -22,7 +22,7 @@ def gate(content: Column, mime: Column) -> Column:
     """The gates that are expressions; those that open a container are applied by the parsers."""
     starts = lambda *magic: F.substring(content, 1, len(bytes.fromhex(magic[0]))).isin(*(bytes.fromhex(m) for m in magic))
     tests = {
-        ("text", "json", "xml", "csv", "markdown", "log"): T.is_likely_text(content),
+        ("text", "json", "xml", "csv", "markdown", "log"): T.is_likely_text(content) | (F.octet_length(content) == 0),  # an empty file is an empty text
         ("html",): T.is_likely_html(content),
         ("eml",): T.is_eml(content),
         ("mbox",): T.is_mbox(content),

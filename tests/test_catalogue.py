@@ -54,3 +54,18 @@ def test_archives_of_large_keys(spark, con, tmp_path):
     want = large.execute(catalogue.ORACLE_SQL["archive_listing"]).df()
     columns = sorted(want.columns)
     assert len(want) == 12 and rows(got, columns) == rows(want, columns)
+
+
+@pytest.mark.parametrize("name, text", [("convert_answers", "''"), ("convert_answers", "NULL::VARCHAR"), ("registry_dispatch", "''")])
+def test_documents_of_nothing(spark, con, tmp_path, name, text):
+    """Empty texts, and missing ones, in every place that a document's id gives it."""
+    con.execute(f"COPY (SELECT i AS doc_id, {text} AS text FROM range(30) AS r(i)) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"COPY (SELECT * FROM pages LIMIT 2) TO '{tmp_path}/pages.parquet'")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
+    odd = duckdb.connect()
+    for t in ("documents", "pages"):
+        odd.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = odd.execute(catalogue.ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    clean = lambda frame: sorted((tuple(str(v) if v == v and v is not None else None for v in r) for r in frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)), key=str)
+    assert clean(got) == clean(want)
