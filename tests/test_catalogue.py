@@ -56,7 +56,7 @@ def test_archives_of_large_keys(spark, con, tmp_path):
     assert len(want) == 12 and rows(got, columns) == rows(want, columns)
 
 
-@pytest.mark.parametrize("name, text", [("convert_answers", "''"), ("convert_answers", "NULL::VARCHAR"), ("registry_dispatch", "''")])
+@pytest.mark.parametrize("name, text", [("convert_answers", "''"), ("convert_answers", "NULL::VARCHAR"), ("convert_files", "''"), ("registry_dispatch", "''")])
 def test_documents_of_nothing(spark, con, tmp_path, name, text):
     """Empty texts, and missing ones, in every place that a document's id gives it."""
     con.execute(f"COPY (SELECT i AS doc_id, {text} AS text FROM range(30) AS r(i)) TO '{tmp_path}/documents.parquet'")
