@@ -43,21 +43,23 @@ def detection_body(key: Column, confidence: Column, method: Column) -> Column:
     return F.to_json(F.struct(info.alias("format"), confidence.cast("float").alias("confidence"), method.alias("method"), message.alias("message")))
 
 
-def convert(files: DataFrame, fallback: bool = True, limit: int = MAX_BYTES, known: DataFrame | None = None, own: dict[str, Parser] | None = None, render: Callable[[Column], Column] = render_document) -> DataFrame:
+def convert(files: DataFrame, fallback: bool = True, limit: int = MAX_BYTES, known: DataFrame | None = None, own: dict[str, Parser] | None = None, render: Callable[[Column], Column] = render_document, signatures: bool = True) -> DataFrame:
     """files (name, length, content and more) with status, content_type and body instead of content: a row for each file,
     and none fails the job. A null length is the content's own; a file without content is empty.
 
     One pass: detection and gates are expressions, one Arrow map parses the rows that have a parser, and the response is
     an expression again. Content of files over the limit goes no further than the scan. own: further parsers by MIME type
-    (see sources.parse.parse_files), which win over the registered ones. render: document to body."""
+    (see sources.parse.parse_files), which win over the registered ones. render: document to body.
+    signatures: whether content may show its format by its first bytes. A boolean column `trusted` may say of which files the
+    format is known and not guessed: those are parsed without asking the gate."""
     known = registrations(files.sparkSession) if known is None else known
     if own:
         known = known.unionByName(files.sparkSession.createDataFrame([(10_000 + i, getattr(p, "__name__", m), m) for i, (m, p) in enumerate(own.items())], known.schema))
-    columns = [c for c in files.columns if c not in ("content", "refusal")]
+    columns = [c for c in files.columns if c not in ("content", "refusal", "trusted")]
     sized = files if "refusal" in files.columns else files.withColumn("refusal", F.lit(None).cast("string"))
     sized = sized.withColumn("__size", F.coalesce(F.col("length"), F.octet_length("content"), F.lit(0))).withColumn("__large", F.col("__size") > limit)
     sized = sized.withColumn("content", F.when(~F.col("__large"), F.coalesce("content", F.lit(b""))))
-    routed = dispatch(detect(sized), known)
+    routed = dispatch(detect(sized, signatures=signatures), known, F.col("trusted") if "trusted" in files.columns else None)
     rows = parse_files(routed.withColumn("__wanted", F.col("parser").isNotNull() & ~F.col("__large") & F.col("refusal").isNull()), own=own, wanted="__wanted", keep_content=False)
     failure = F.col("document.error")
     refused = ~F.col("__wanted") | F.coalesce(failure["kind"] == REFUSED, F.lit(False))

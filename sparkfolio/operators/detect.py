@@ -51,9 +51,10 @@ def format_by_mime(mime: Column) -> Column:
     return F.try_element_at(_map({FORMATS[k][0]: k for k in BY_MIME}), mime)
 
 
-def detection(content: Column, name: Column) -> Column:
-    """struct(format, confidence, method), or null. Later tests only run where earlier ones fail."""
-    magic = magic_format(content)
+def detection(content: Column, name: Column, signatures: bool = True) -> Column:
+    """struct(format, confidence, method), or null. Later tests only run where earlier ones fail. Without signatures only the
+    name counts, for content that is known to be text and may begin like anything."""
+    magic = magic_format(content) if signatures else F.lit(None).cast("string")
     inside = F.when(magic == "zip", office_in_zip(content)).when(magic == "cfb", office_in_compound(content, name))
     by_name = extension_format(name)
 
@@ -69,9 +70,9 @@ def format_info(key: Column) -> Column:
     return F.try_element_at(table, key)
 
 
-def detect(files: DataFrame, content: str = "content", name: str = "name") -> DataFrame:
+def detect(files: DataFrame, content: str = "content", name: str = "name", signatures: bool = True) -> DataFrame:
     """files with format, mime_type, family, confidence and method; null where nothing fits. No shuffle."""
-    found = files.withColumn("__d", detection(F.col(content), F.col(name))).withColumn("__f", format_info(F.col("__d.format")))
+    found = files.withColumn("__d", detection(F.col(content), F.col(name), signatures)).withColumn("__f", format_info(F.col("__d.format")))
     return found.withColumns({"format": F.col("__d.format"), "mime_type": F.col("__f.mime_type"), "family": F.col("__f.family"), "confidence": F.col("__d.confidence"), "method": F.col("__d.method")}).drop("__d", "__f")
 
 

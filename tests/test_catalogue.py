@@ -69,3 +69,19 @@ def test_documents_of_nothing(spark, con, tmp_path, name, text):
     columns = sorted(want.columns)
     clean = lambda frame: sorted((tuple(str(v) if v == v and v is not None else None for v in r) for r in frame[columns].astype(object).where(frame[columns].notna(), None).itertuples(index=False, name=None)), key=str)
     assert clean(got) == clean(want)
+
+
+def test_convert_files_of_any_text(spark, con, tmp_path):
+    """Missing texts, control characters, other formats' signatures, mail without header lines, and pages without markup."""
+    mail = "'From: a@b.c' || chr(10) || 'To: b@c.d' || chr(10) || chr(10) || 'x'"
+    texts = ("NULL", "''", "'a'", "repeat(chr(1), 40)", "'%PDF-1.4 x'", "'PK' || chr(3) || chr(4)", "'<html>x'", mail, "'Hello, From: a To: b'", f"'Subject: =?utf-8?b?abcde?=' || chr(10) || {mail}", f"'Date: Mon, 01 Jan 0001 00:00:00 +1000' || chr(10) || {mail}")
+    odd = "(VALUES " + ", ".join(f"({i}, {t})" for i, t in enumerate(texts)) + ") AS t(k, text)"
+    con.execute(f"COPY (SELECT k * 10 + i AS doc_id, text::VARCHAR AS text FROM {odd}, range(10) AS r(i)) TO '{tmp_path}/documents.parquet'")
+    con.execute(f"COPY (SELECT k AS page_id, text::VARCHAR AS html FROM {odd} UNION ALL SELECT 99, 'x' || repeat(chr(233), 600) || '<html>') TO '{tmp_path}/pages.parquet'")
+    got = catalogue.QUERIES["convert_files"](spark, str(tmp_path)).toPandas()
+    any_text = duckdb.connect()
+    for t in ("documents", "pages"):
+        any_text.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = any_text.execute(catalogue.ORACLE_SQL["convert_files"]).df()
+    columns = sorted(want.columns)
+    assert len(want) == 10 * len(texts) + len(texts) + 1 and rows(got, columns) == rows(want, columns)
